@@ -1,8 +1,11 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__.py``."""
 
-from tokenloom.llm import exact_dedup, sharding
+from tokenloom.llm import bpe, exact_dedup, mixing, quality, sharding
 
 QUERIES = {
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_source_mix": mixing.op5_source_mix,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
