@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -190,3 +191,23 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(k):
             out = mix((out ^ words[j : j + n]) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j + 1))
     return out
+
+
+def streamed(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Groups of rows with equal keys from batches sorted by them."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        edges = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        for a, b in zip([0, *edges], [*edges, len(batch)], strict=True):
+            key = tuple(values[a])
+            if held and key != last:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.iloc[a:b])
+            last = key
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
