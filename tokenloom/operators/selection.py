@@ -96,18 +96,21 @@ def cap_order(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     edges = edges.join(nodes.select(F.col("token_id").alias("child")), "child").join(nodes.select(F.col("token_id").alias("parent")), "parent")
     edges = cut(edges, "edges")
     key = F.struct(F.col("freq").alias("f"), (-F.col("token_id")).alias("i"))
-    waiting = cut(nodes.where("NOT structural").select("token_id", "freq", key.alias("key")), "waiting")
-    done = cut(waiting.limit(0).withColumn("block", F.col("key")), "done")
+    state = nodes.where("NOT structural").select("token_id", "freq", key.alias("key"))
+    # Nothing depends on a leaf: its block is its own key.
+    leaves = state.join(edges.select(F.col("parent").alias("token_id")).distinct(), "token_id", "left_anti").select("token_id", F.col("key").alias("block"))
+    state = cut(state.join(leaves, "token_id", "left"), "blocks")
+    settled = state.where("block IS NOT NULL").count()
     while True:
-        # A token is settled once all that depend on it are.
-        settled = done.select(F.col("token_id").alias("child"), "block")
-        above = edges.join(settled, "child", "left").groupBy(F.col("parent").alias("token_id")).agg(F.max("block").alias("above"), F.max(F.col("block").isNull()).alias("open"))
-        ready = waiting.join(above, "token_id", "left").where(~F.coalesce("open", F.lit(False)))
-        ready = cut(ready.select("token_id", "freq", "key", F.greatest("key", F.coalesce("above", "key")).alias("block")), "ready")
-        if not ready.limit(1).count():
-            return done.select("token_id", "freq", "block")
-        done = cut(done.unionByName(ready), "done")
-        waiting = cut(waiting.join(ready.select("token_id"), "token_id", "left_anti"), "waiting")
+        # Others settle once all that depend on them have; a structural dependent never does.
+        below = state.select(F.col("token_id").alias("child"), "block")
+        above = edges.join(below, "child", "left").groupBy(F.col("parent").alias("token_id")).agg(F.max("block").alias("above"), F.max(F.col("block").isNull()).alias("open"))
+        ready = F.when(~F.col("open"), F.greatest("key", "above"))
+        state = cut(state.join(above, "token_id", "left").select("token_id", "freq", "key", F.coalesce("block", ready).alias("block")), "blocks")
+        now = state.where("block IS NOT NULL").count()
+        if now == settled:
+            return state.where("block IS NOT NULL").select("token_id", "freq", "block")
+        settled = now
 
 
 def _greedy(tokens: list[tuple[int, int]], edges: list[tuple[int, int]], need: int) -> list[int]:

@@ -455,12 +455,12 @@ _PIECES = """
 letters AS (SELECT DISTINCT unnest(string_split(token, '')) AS c FROM lex),
 names AS (SELECT c AS piece FROM letters UNION SELECT '##' || c FROM letters UNION SELECT token FROM lex WHERE n >= 20 UNION SELECT '##' || token FROM lex WHERE n >= 20 AND length(token) <= 4),
 pieces AS (SELECT piece, row_number() OVER (ORDER BY piece) - 1 AS id FROM names),
+starts AS (SELECT token, unnest(range(1, length(token) + 1)) AS place FROM lex WHERE length(token) <= 100),
+spans AS (SELECT token, place, unnest(range(1, length(token) - place + 2)) AS len FROM starts),
+best AS (SELECT token, place, max(len) AS len, arg_max(id, len) AS id FROM spans JOIN pieces ON piece = (CASE WHEN place = 1 THEN '' ELSE '##' END) || substr(token, place, len) GROUP BY token, place),
 walk(token, place, ids) AS (
-    SELECT token, 1, ''::VARCHAR FROM lex WHERE length(token) <= 100 UNION ALL
-    SELECT token, place + len, ids || ' ' || id FROM (
-        SELECT w.token, w.place, w.ids, s.len, p.id, row_number() OVER (PARTITION BY w.token ORDER BY s.len DESC) AS rk
-        FROM walk w, (SELECT unnest(range(1, 101)) AS len) s JOIN pieces p ON p.piece = (CASE WHEN w.place = 1 THEN '' ELSE '##' END) || substr(w.token, w.place, s.len)
-        WHERE w.place + s.len <= length(w.token) + 1) WHERE rk = 1)
+    SELECT token, 1::BIGINT, ''::VARCHAR FROM lex WHERE length(token) <= 100 UNION ALL
+    SELECT w.token, w.place + b.len, w.ids || ' ' || b.id FROM walk w JOIN best b USING (token, place))
 """
 
 
