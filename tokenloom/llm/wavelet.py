@@ -29,13 +29,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import cut, scratch_path, ship, slices, text_or_empty
+from tokenloom.llm.common import LOWER, NOT_SPACE, byte_table, column_bytes, cut, scratch_path, ship, slices, text_or_empty, word_bounds
 
 MAGIC = b"WAVELET1"
 BLOCK = 1 << 16  # bytes of a plane that are compressed together
 RANK = 512  # bits between stored counts
 SHARD_TOKENS = 1 << 24
-CACHE = 400_000
+CACHE = 500_000
 END = 2
 
 
@@ -54,6 +54,7 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
 def write(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """A shard's file: documents, their numbers of ids, and all ids one after another."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    ids = ids.astype(np.uint16) if bits <= 16 else ids
     planes, zeros = build(ids, bits)
     press = zstandard.ZstdCompressor(level=1)
     body: list[bytes] = []
@@ -183,8 +184,31 @@ class Shard:
         return ids
 
 
+def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased and blanks put between rows and wherever a letter of ASCII or Latin-1 meets ASCII
+    punctuation other than an apostrophe, and where the rows then begin. No token crosses such a place."""
+    data = LOWER[data]
+    n = len(data)
+    letter = _LETTER[data]
+    if n > 1:
+        pair = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    else:
+        pair = np.zeros(0, bool)
+    ends, begins = letter.copy(), letter
+    ends[1:] |= pair
+    begins[:-1] |= pair
+    mark = _MARK[data]
+    gaps = np.flatnonzero(ends[:-1] & mark[1:] | mark[:-1] & begins[1:]) + 1
+    cuts = np.union1d(gaps, offsets[(offsets > 0) & (offsets < n)])
+    return np.insert(data, cuts, 0x20), offsets + np.searchsorted(cuts, offsets)
+
+
+_LETTER = byte_table([*range(97, 123)])
+_MARK = byte_table([b for b in range(33, 127) if not chr(b).isalnum() and b != 39])
+
+
 class Words:
-    """The tokenizer over words between ASCII white space, which none of its tokens crosses; known words are kept."""
+    """The tokenizer over words, which none of its tokens crosses; known words are kept."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -193,20 +217,46 @@ class Words:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = set().union(*split)
-        words = list(new)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        self.final = np.array([t.endswith("</w>") for t, _ in sorted(self.model.get_vocab().items(), key=lambda x: x[1])])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words of letters alone are one unit of the tokenizer each, so they are encoded together and cut at the tokens that end
+        a unit; if these aren't as many as the words, and for all other words, each is encoded by itself."""
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() or w.decode("utf-8", "replace").isalpha() else rest).append(w)
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(part):
+                rest += part
+                continue
+            raw = ids.tobytes()
+            before = 0
+            for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known[word] = raw[before:end]
+                before = end
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
             for word, found in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids one after another, and the number of each row's."""
+        data, offsets = apart(data, offsets)
+        starts, _ = word_bounds(data, offsets, NOT_SPACE)
+        words = data.tobytes().split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > CACHE:
+                self.known = {}
+                found = [None] * len(words)
+            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
+            found = list(map(self.known.__getitem__, words))
+        total = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=total[1:])
+        return np.frombuffer(b"".join(found), "<u4"), np.diff(total[np.searchsorted(starts, offsets)]) // 4
 
 
 _words: dict[str, Words] = {}
@@ -241,7 +291,6 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end: int = END,
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     local, at = _filesystem(folder)
     local.create_dir(at, recursive=True)
-    last = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = words(vocabulary)
@@ -250,20 +299,20 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end: int = END,
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{number:06d}.wm"
-            _save(path, write(ids, lengths, np.frombuffer(b"".join(coded), "<u4")))
+            _save(path, write(ids, lengths, np.concatenate(coded)))
             return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": path, "documents": len(ids), "tokens": tokens}], pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
             for some in slices(batch):
-                for doc_id, raw in zip(some.column("doc_id").to_pylist(), model.encode(some.column("text").to_pylist()), strict=True):
-                    ids.append(doc_id)
-                    coded.append(raw + last)
-                    lengths.append(len(raw) // 4 + 1)
-                    tokens += lengths[-1]
-                    if tokens >= shard_tokens:
-                        yield flush()
-                        number += 1
-                        ids, lengths, coded, tokens = [], [], [], 0
+                found, counts = model.encode(*column_bytes(some.column("text")))
+                coded.append(np.insert(found, np.cumsum(counts), end))
+                ids += some.column("doc_id").to_pylist()
+                lengths += (counts + 1).tolist()
+                tokens += len(coded[-1])
+                if tokens >= shard_tokens:
+                    yield flush()
+                    number += 1
+                    ids, lengths, coded, tokens = [], [], [], 0
         if ids:
             yield flush()
 
