@@ -18,12 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut, ship, streamed
+from tokenloom.llm.common import cut, ship
 
 BLOCK = 1024
 ROLES = ("system", "user", "assistant")
@@ -38,6 +37,7 @@ MOVES = {
     (USER, USER): (MERGE, True, ()), (USER, ASSISTANT): (0, False, ()),
     (ASSISTANT, USER): (0, False, ()), (ASSISTANT, ASSISTANT): (MERGE, True, ()),
 }
+_STEPS = [(p, q, cost) for (p, q), (cost, _, _) in MOVES.items()]
 #: What ends a conversation from a state: (cost, inserted roles).
 ENDS = {SYSTEM: (2 * INSERT, ("user", "assistant")), USER: (INSERT, ("assistant",)), ASSISTANT: (0, ())}
 
@@ -56,8 +56,9 @@ def _relabel(given: int | None, to: int) -> int:
 def step(costs: list[int], given: int | None) -> tuple[list[int], list[int]]:
     """Least costs of the states after a turn, and the states they come from."""
     after, back = [NEVER] * 4, [0] * 4
-    for (p, q), (cost, _, _) in MOVES.items():
-        total = costs[p] + cost + _relabel(given, q)
+    relabel = [0, *[_relabel(given, q) for q in (SYSTEM, USER, ASSISTANT)]]
+    for p, q, cost in _STEPS:
+        total = costs[p] + cost + relabel[q]
         if total < after[q]:
             after[q], back[q] = total, p
     return after, back
@@ -136,45 +137,78 @@ def segments(roles: list[object], texts: list[object], enter: int, leave: int, l
 
 
 KEYS = ["none", "conv"]
+FLUSH = 4000  # output rows that make a batch
 
 
-def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out = []
-    for g in streamed(batches, [*KEYS, "block"]):
-        out.append((*g[[*KEYS, "block"]].iloc[0].tolist(), matrix(g["role"].tolist())))
-        if len(out) == 5000:
-            yield pd.DataFrame(out, columns=[*KEYS, "block", "costs"])
-            out = []
-    yield pd.DataFrame(out, columns=[*KEYS, "block", "costs"])
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Key and columns, as lists, of each run of rows with equal keys."""
+    held: dict[str, list] = {}
+    last: tuple | None = None
+    for batch in batches:
+        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        rows = list(zip(*[columns[k] for k in keys], strict=True))
+        at = 0
+        for i in range(1, len(rows) + 1):
+            if i < len(rows) and rows[i] == rows[at]:
+                continue
+            if last is not None and rows[at] != last:
+                yield last, held
+                held = {}
+            for name, values in columns.items():
+                held.setdefault(name, []).extend(values[at:i])
+            last, at = rows[at], i
+    if last is not None:
+        yield last, held
 
 
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out = []
-    for g in streamed(batches, KEYS):
-        states = chain([list(map(int, m)) for m in g["costs"]])
-        blocks = g["block"].tolist()
-        head = g[KEYS].iloc[0].tolist()
-        out += [(*head, b, states[i], states[i + 1], i + 1 == len(blocks)) for i, b in enumerate(blocks)]
-        if len(out) > 5000:
-            yield pd.DataFrame(out, columns=[*KEYS, "block", "enter", "leave", "last"])
-            out = []
-    yield pd.DataFrame(out, columns=[*KEYS, "block", "enter", "leave", "last"])
-
-
-def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in streamed(batches, [*KEYS, "block"]):
-        first = g.iloc[0]
-        found = segments(g["role"].tolist(), g["text"].tolist(), int(first["enter"]), int(first["leave"]), bool(first["last"]))
-        out = pd.DataFrame(found, columns=["new_role", "action", "inserted_before", "inserted_after", "cost", "segment"])
-        for c in (*KEYS, "block", "turn", "role"):
-            out[c] = g[c].to_numpy()
-        out["place"] = np.arange(len(out))
-        yield out
+def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, so that small groups share one."""
+    buffer: list[tuple] = []
+    for row in rows:
+        buffer.append(row)
+        if len(buffer) >= FLUSH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*buffer, strict=True), schema, strict=True)], schema=schema)
+            buffer = []
+    if buffer:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*buffer, strict=True), schema, strict=True)], schema=schema)
+
+
+_KEYS = [("none", pa.int32()), ("conv", pa.int64()), ("block", pa.int64())]
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((*key, matrix(g["role"])) for key, g in groups(batches, [*KEYS, "block"]))
+    return _emit(rows, pa.schema([*_KEYS, ("costs", pa.list_(pa.int64()))]))
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for key, g in groups(batches, KEYS):
+            states = chain(g["costs"])
+            for i, block in enumerate(g["block"]):
+                yield *key, block, states[i], states[i + 1], i + 1 == len(g["block"])
+
+    return _emit(rows(), pa.schema([*_KEYS, ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_())]))
+
+
+_OUT = [("turn", pa.int64()), ("role", pa.string()), ("place", pa.int64()), ("new_role", pa.string()), ("action", pa.string()), ("inserted_before", pa.list_(pa.string())), ("inserted_after", pa.list_(pa.string())), ("cost", pa.int32()), ("segment", pa.string())]
+
+
+def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for key, g in groups(batches, [*KEYS, "block"]):
+            found = segments(g["role"], g["text"], g["enter"][0], g["leave"][0], g["last"][0])
+            for i, segment in enumerate(found):
+                yield *key, g["turn"][i], g["role"][i], i, *segment
+
+    return _emit(rows(), pa.schema([*_KEYS, *_OUT]))
 
 
 def repair(conversations: DataFrame) -> DataFrame:
     """One row for each turn: conv_id, block and place (its order), turn, role, new_role, action, inserted roles, cost, segment."""
-    ship(conversations.sparkSession)
+    spark = conversations.sparkSession
+    ship(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small bytes but long work aren't put together
     conv = conversations["conv_id"].cast("long")
     turn = conversations["turn"].cast("long")
     rows = conversations.select(
@@ -185,13 +219,13 @@ def repair(conversations: DataFrame) -> DataFrame:
     )
     key = [*KEYS, "block"]
     order = [*key, "turn", F.col("role").asc_nulls_last()]
-    slim = rows.select(*key, "turn", "role").repartition(*key).sortWithinPartitions(*order)
-    costs = cut(slim.mapInPandas(_matrices, "none int, conv long, block long, costs array<long>"), "matrices")
-    states = costs.repartition(*KEYS).sortWithinPartitions(*key).mapInPandas(_chains, "none int, conv long, block long, enter int, leave int, last boolean")
+    slim = rows.select(*key, "turn", "role").repartition(tasks, *key).sortWithinPartitions(*order)
+    costs = cut(slim.mapInArrow(_matrices, "none int, conv long, block long, costs array<long>"), "matrices")
+    states = costs.repartition(tasks, *KEYS).sortWithinPartitions(*key).mapInArrow(_chains, "none int, conv long, block long, enter int, leave int, last boolean")
     states = cut(states, "states")
-    placed = rows.join(states, key).repartition(*key).sortWithinPartitions(*order, F.col("text").asc_nulls_last())
-    schema = "new_role string, action string, inserted_before array<string>, inserted_after array<string>, cost int, segment string, none int, conv long, block long, turn long, role string, place long"
-    done = placed.mapInPandas(_repaired, schema)
+    placed = rows.join(states, key).repartition(tasks, *key).sortWithinPartitions(*order, F.col("text").asc_nulls_last())
+    schema = "none int, conv long, block long, turn long, role string, place long, new_role string, action string, inserted_before array<string>, inserted_after array<string>, cost int, segment string"
+    done = placed.mapInArrow(_repaired, schema)
     return done.select(
         F.when(F.col("none") == 0, F.col("conv")).alias("conv_id"), "block", "place",
         F.when(F.col("turn") < (1 << 63) - 1, F.col("turn")).alias("turn"),
