@@ -301,6 +301,38 @@ def test_split_sets_of_near_duplicates(spark, monkeypatch):
     assert {f["class_id"] for f in plain(near_dedup.near_classes(make(spark, rows)))} == {0}
 
 
+def test_no_link_is_lost_between_blocks(spark, monkeypatch):
+    """Drifting chains, whose ends aren't alike, in blocks of three: classes equal those of all pairs that share a sample."""
+    import pyarrow as pa
+
+    from tokenloom.llm.common import column_bytes
+
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 3)
+    r = random.Random(15)
+    texts = []
+    for g in range(2):
+        words = [f"g{g}w{k}" for k in range(100)]
+        for _ in range(25):
+            words = edited(r, words, 5)
+            texts.append(" ".join(words))
+    _, _, samples = near_dedup.sketch(*column_bytes(pa.array([t.encode() for t in texts], pa.binary())))
+    words = [near_dedup.words_of(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (samples[:, i] == samples[:, j]).any() and alignment.within(words[i], words[j], int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    found = {f["doc_id"]: f["class_id"] for f in plain(near_dedup.near_classes(make(spark, [(i, t, "s") for i, t in enumerate(texts)])))}
+    assert found == {i: find(i) for i in range(len(texts))}
+
+
 def test_alignment():
     def full(a, b):
         row = list(range(len(b) + 1))
