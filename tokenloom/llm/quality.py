@@ -2,7 +2,8 @@
 
 Each line gets binary features of its bytes (lengths, symbols, capitals, digits, repetition); two
 labels form a chain whose transition and feature weights are fitted by likelihood on labelled
-documents, every line of a document of quality 1 being content and of quality 0 boilerplate. At most
+documents, every line of a document of quality 1 being content and of quality 0 boilerplate; the fit is then
+made cautious (see TEMPER). At most
 FIT_DOCS documents of each quality, the first by hash, and their first FIT_LINES lines are used to fit; everything
 else covers whole texts. Viterbi decoding labels the lines; the share of words in content lines decides.
 
@@ -27,7 +28,10 @@ FIT_LINES = 64
 LEAST_WORDS = 20
 WINDOW = 8
 MOST_REPEATED = 30  # per cent of words
-LEAST_CONTENT = 0.5
+LEAST_CONTENT = 0.3
+#: Weak labels are the same for all lines of a document, so the moves they teach are too sticky and are shortened; and losing
+#: content counts as worse than keeping boilerplate, by this score a line.
+TEMPER, CAUTION = 0.25, 1.0
 
 SYMBOLS = byte_table(b"#*$%&|<>")
 UPPER, LOWER_CASE, DIGITS = byte_table([*range(65, 91)]), byte_table([*range(97, 123)]), byte_table([*range(48, 58)])
@@ -227,6 +231,11 @@ def fit(features: np.ndarray, rows: np.ndarray, labels: np.ndarray, rounds: int
     return Chain(tuple(p[:dim]), ((p[dim], p[dim + 1]), (p[dim + 2], p[dim + 3])), (p[dim + 4], p[dim + 5]))
 
 
+def cautious(chain: Chain) -> Chain:
+    """A fitted chain with shorter moves and a bias towards content."""
+    return Chain((chain.weights[0] - CAUTION, *chain.weights[1:]), tuple(tuple(TEMPER * x for x in row) for row in chain.moves), chain.first)
+
+
 def _line_bits(batch: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = column_bytes(batch.column("text"))
     found = measures(data, offsets)
@@ -247,7 +256,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> Cha
     bits = np.concatenate([np.array(r["bits"], np.int64) for r in found])
     starts = np.concatenate([[0], np.cumsum([len(r["bits"]) for r in found])])
     label = np.repeat([1 - r["quality"] for r in found], np.diff(starts))
-    return fit((bits[:, None] >> np.arange(FEATURES)) & 1, starts, label)
+    return cautious(fit((bits[:, None] >> np.arange(FEATURES)) & 1, starts, label))
 
 
 def verdicts(text: pa.Array, chain: Chain) -> dict[str, np.ndarray]:
