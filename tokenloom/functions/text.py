@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ KINDS = {"L": "letter", "N": "number", "P": "punctuation", "S": "symbol", "M": "
 
 
 @cache
-def _points() -> list[tuple[int, str, str, bool, str]]:
+def _points() -> pa.Table:
     out = []
     for p in range(0x110000):
         c = chr(p)
@@ -75,13 +76,15 @@ def _points() -> list[tuple[int, str, str, bool, str]]:
         kind = "whitespace" if c.isspace() else KINDS.get(major[0], "other")
         if c.isalpha() or kind != "other":
             out.append((p, name if c.isalpha() else "", (name.split() or ["UNKNOWN"])[0] if c.isalpha() else "", c.isalpha(), kind))
-    return out
+    columns = zip(*out, strict=True)
+    types = {"cp": pa.int32(), "name": pa.string(), "script": pa.string(), "is_alpha": pa.bool_(), "kind": pa.string()}
+    return pa.table({name: pa.array(values, kind) for (name, kind), values in zip(types.items(), columns, strict=True)})
 
 
 def codepoints(spark: SparkSession) -> DataFrame:
     """cp, name, script (the name's first word), is_alpha, kind: a fixed table of all letters and other classified code
     points, whatever the data's size."""
-    return spark.createDataFrame(_points(), "cp int, name string, script string, is_alpha boolean, kind string")
+    return spark.createDataFrame(_points())
 
 
 def characters(tokens: DataFrame, key: str = "token", surface: str = "surface") -> DataFrame:

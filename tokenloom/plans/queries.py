@@ -227,12 +227,12 @@ def chat_literals(spark, sf_dir):
 
 @query(f"""
 WITH {LEX}, asked AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{W}')) AS token FROM benchmark)
-SELECT a.token, l.token_id, l.token_id IS NOT NULL AS known FROM asked a LEFT JOIN lex l USING (token)
+SELECT a.token, coalesce(l.token_id, -1) AS token_id, l.token_id IS NOT NULL AS known FROM asked a LEFT JOIN lex l USING (token)
 """)
 def requested_lookup(spark, sf_dir):
-    """Requested tokens with their ids, the unknown ones without."""
+    """Requested tokens with their ids; the unknown ones with -1."""
     asked = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("token")).distinct()
-    return asked.join(lexicon(spark, sf_dir).select("token", "token_id"), "token", "left").withColumn("known", F.col("token_id").isNotNull())
+    return asked.join(lexicon(spark, sf_dir).select("token", "token_id"), "token", "left").select("token", F.coalesce("token_id", F.lit(-1)).alias("token_id"), F.col("token_id").isNotNull().alias("known"))
 
 
 LEAST = 20  # words that occur less often have no merges of their own
