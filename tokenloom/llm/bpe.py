@@ -10,16 +10,17 @@ A null text is an empty one and has no tokens. Whole texts are encoded; a piece'
 in the worker for its next occurrence, at most CACHE pieces at once. Within a round the row at a contracted
 pair goes and its right neighbour becomes the merged token, so no row needs its neighbours' neighbours.
 Pieces of more than LONG bytes contract, in a round, all pairs of the least rank that don't
-overlap, where no later pair of lower rank can come of them; otherwise the leftmost only.
+overlap, where no later pair of lower rank can come of them; otherwise the leftmost only. As a recursive query keeps
+the rows of all its rounds, pieces of more than HUGE bytes without a break are contracted outside of the database instead, by
+a heap of pairs, with the same results; and the pieces of a query are as many as ROWS allows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import heapq
 import re
-import tempfile
 from functools import cache
 
 import duckdb
@@ -34,9 +35,9 @@ from pyspark.sql import types as T
 from tokenloom.llm.common import map_slices, text_or_empty
 
 CACHE = 400_000
-LONG = 256
-#: Pieces contracted, or bytes decoded, by one query: bounds the database's memory.
-PIECES, DECODE_BYTES = 20_000, 1 << 20
+LONG, HUGE = 256, 2048
+#: Rows of all rounds, or bytes decoded, by one query: bounds the database's memory.
+ROWS, DECODE_BYTES = 2_000_000, 1 << 20
 
 _SHORT = """
 WITH RECURSIVE t(w, len, pos, tok, nxt) AS (
@@ -131,6 +132,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def contract(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece, by a heap of neighbouring pairs over a linked list."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+    heap: list[tuple[int, int, bytes]] = []
+
+    def push(i: int) -> None:
+        if i >= 0 and after[i] < len(parts):
+            joined = parts[i] + parts[after[i]]
+            if (rank := ranks.get(joined)) is not None:
+                heapq.heappush(heap, (rank, i, joined))
+
+    for i in range(len(parts)):
+        push(i)
+    while heap:
+        _, i, joined = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j >= len(parts) or parts[i] + parts[j] != joined:
+            continue  # one of the two has changed since
+        parts[i], parts[j] = joined, b""
+        after[i] = after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        push(before[i])
+        push(i)
+    return [ranks[p] for p in parts if p]
+
+
 class Coder:
     """Encoder and decoder over one database; used within one Python worker."""
 
@@ -139,7 +168,7 @@ class Coder:
         self.ranks = read_ranks(path)
         self.known: dict[str, bytes] = {}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), "tokenloom-duckdb")})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         table = merge_table(self.ranks)
         merges = pa.table({"pair": pa.array([a * 65536 + b for a, b, _, _ in table], pa.int64()), "rank": pa.array([r for *_, r, _ in table], pa.int64()), "alone": pa.array([x for *_, x in table])})
         vocab = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "piece": [token.hex() for token in self.ranks]})
@@ -164,6 +193,9 @@ class Coder:
     def learn(self, words: set[str]) -> None:
         """Encode pieces and keep the ids as little-endian 32-bit integers."""
         short, long = [], []
+        for word in [w for w in words if len(w) > HUGE // 4 and len(w.encode()) > HUGE]:
+            self.known[word] = np.array(contract(word.encode(), self.ranks), "<u4").tobytes()
+        words = {w for w in words if w not in self.known}
         for word in words:
             raw = word.encode()
             rank = self.ranks.get(raw)
@@ -171,12 +203,18 @@ class Coder:
                 self.known[word] = rank.to_bytes(4, "little")
             else:
                 (short if len(raw) <= LONG else long).append((word, raw))
-        for group, query, many in ((short, _SHORT, PIECES), (long, _LONG, 64)):
+        for group, query in ((short, _SHORT), (long, _LONG)):
             group.sort(key=lambda x: len(x[1]))
-            for at in range(0, len(group), many):
-                part = group[at : at + many]
+            at = 0
+            while at < len(group):
+                to, rows = at, 0
+                while to < len(group) and (to == at or rows + len(group[to][1]) ** 2 // 2 <= ROWS):
+                    rows += len(group[to][1]) ** 2 // 2
+                    to += 1
+                part = group[at:to]
                 for (word, _), ids in zip(part, self._contract([raw for _, raw in part], query), strict=True):
                     self.known[word] = ids.astype("<u4").tobytes()
+                at = to
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
