@@ -35,7 +35,7 @@ MAGIC = b"WAVELET1"
 BLOCK = 1 << 16  # bytes of a plane that are compressed together
 RANK = 512  # bits between stored counts
 SHARD_TOKENS = 1 << 24
-CACHE = 500_000
+CACHE = 1_000_000  # words that a worker keeps, some 200 bytes each
 END = 2
 
 
@@ -249,11 +249,12 @@ class Words:
         words = data.tobytes().split()
         found = list(map(self.known.get, words))
         if None in found:
+            missing = [i for i, f in enumerate(found) if f is None]
             if len(self.known) > CACHE:
                 self.known = {}
-                found = [None] * len(words)
-            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = list(map(self.known.__getitem__, words))
+            self.learn(list({words[i] for i in missing}))
+            for i in missing:
+                found[i] = self.known[words[i]]
         total = np.zeros(len(found) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=total[1:])
         return np.frombuffer(b"".join(found), "<u4"), np.diff(total[np.searchsorted(starts, offsets)]) // 4
