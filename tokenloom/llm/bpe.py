@@ -37,7 +37,9 @@ from tokenloom.llm.common import map_slices, text_or_empty
 CACHE = 400_000
 LONG, HUGE = 256, 2048
 #: Rows of all rounds, or bytes decoded, by one query: bounds the database's memory.
-ROWS, DECODE_BYTES = 2_000_000, 1 << 20
+ROWS, DECODE_BYTES = 1_000_000, 1 << 20
+#: Text whose new pieces are learnt together: a query has a price of its own.
+TOGETHER = 1 << 21
 
 _SHORT = """
 WITH RECURSIVE t(w, len, pos, tok, nxt) AS (
@@ -168,7 +170,7 @@ class Coder:
         self.ranks = read_ranks(path)
         self.known: dict[str, bytes] = {}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         table = merge_table(self.ranks)
         merges = pa.table({"pair": pa.array([a * 65536 + b for a, b, _, _ in table], pa.int64()), "rank": pa.array([r for *_, r, _ in table], pa.int64()), "alone": pa.array([x for *_, x in table])})
         vocab = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "piece": [token.hex() for token in self.ranks]})
@@ -270,7 +272,7 @@ def encode(docs: DataFrame, path: str, source: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(coded), "<i4")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return map_slices(docs.select("doc_id", text_or_empty(docs).cast("binary").alias("text")), kernel, schema)
+    return map_slices(docs.select("doc_id", text_or_empty(docs).cast("binary").alias("text")), kernel, schema, limit=TOGETHER)
 
 
 def decode(coded: DataFrame, path: str, source: str) -> DataFrame:
@@ -283,7 +285,7 @@ def decode(coded: DataFrame, path: str, source: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coder(path, source).decode(ids), pa.binary())], names=["doc_id", "decoded"])
 
     size = F.expr("unhex(repeat('00', coalesce(size(ids), 0)))")
-    return map_slices(coded.select("doc_id", "ids", size.alias("text")), kernel, schema)
+    return map_slices(coded.select("doc_id", "ids", size.alias("text")), kernel, schema, limit=TOGETHER)
 
 
 def digests(docs: DataFrame, path: str, source: str) -> DataFrame:
@@ -303,7 +305,7 @@ def digests(docs: DataFrame, path: str, source: str) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return map_slices(docs.select("doc_id", text_or_empty(docs).cast("binary").alias("text")), kernel, schema)
+    return map_slices(docs.select("doc_id", text_or_empty(docs).cast("binary").alias("text")), kernel, schema, limit=TOGETHER)
 
 
 def public_vocabulary() -> tuple[str, str]:

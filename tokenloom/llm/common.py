@@ -26,7 +26,7 @@ from tokenloom.sources.scratch import cut, shared_dir
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Bytes of text that a kernel handles at once; one longer document is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -83,13 +83,13 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         at = to
 
 
-def map_slices(docs: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text") -> DataFrame:
+def map_slices(docs: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Apply an Arrow kernel to bounded slices of the table."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield kernel(part)
 
     return docs.mapInArrow(run, schema)
