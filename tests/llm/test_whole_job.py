@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 
 def prose(r, n, words=4000):
@@ -62,3 +63,47 @@ def test_no_line_is_lost_with_all_its_copies(spark, tmp_path):
     texts = ["\n".join(r.choices(pool, k=r.randrange(1, 15))) for _ in range(60)]
     left = {x for f in op1_line_dedup(spark, documents(spark, tmp_path, texts)).collect() for x in f["text"].split("\n")}
     assert left >= set(itertools.chain.from_iterable(t.split("\n") for t in texts)) - {""}
+
+
+def forms(parsed):
+    """Texts of all alternatives of an expression, optional parts left out and put in."""
+    out = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            own = [chr(value)]
+        elif name == "IN":
+            own = [chr(x) for k, x in value if str(k) == "LITERAL"] or ["1"]
+        elif name == "BRANCH":
+            own = [f for branch in value[1] for f in forms(branch)]
+        elif name == "SUBPATTERN":
+            own = forms(value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = value
+            own = ([""] if least == 0 else []) + ([f * max(1, least) for f in forms(inner)] if most else [])
+        else:
+            own = ["" if name == "AT" else " "]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_form_of_a_licence_rule_has_its_keyword():
+    from tokenloom.llm import licenses
+    from tokenloom.llm.license_rules import TEXT
+
+    automaton, behind, known = licenses.rules()
+    for r, line in enumerate(TEXT.strip().splitlines()):
+        texts = [f for f in forms(re._parser.parse(line.split(" ~ ", 4)[4])) if known[r][3].search(f.encode())]
+        assert texts, line
+        for text in texts:
+            searched = {x for _, k in automaton.iter(known[r][3].search(text.encode()).group().decode()) for x in behind[k]}
+            assert r in searched, (line, text)
+
+
+def test_licence_notices_without_the_usual_words(spark, tmp_path):
+    from tokenloom.llm.licenses import op2_license_scan
+
+    texts = ["No part may be reproduced without the prior written permission of Acme.", "Without express written permission of the author.", "For terms see the file COPYING.", "see copying.txt", "Without prior written consent of Acme.", "See the LICENSE file.", "a written permit for copying"]
+    found = {f["doc_id"]: (f["labels"], f["score"], f["n_detections"]) for f in op2_license_scan(spark, documents(spark, tmp_path, texts)).collect()}
+    own, unknown = ("proprietary", 0.6, 1), ("unknown-license", 0.2, 1)
+    assert [found[i] for i in range(len(texts))] == [own, own, unknown, unknown, own, unknown, ("", 0.0, 0)]

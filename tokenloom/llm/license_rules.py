@@ -1,8 +1,8 @@
 """Signature rules for licence texts, notices and identifiers.
 
 One rule a line: label ~ priority ~ confidence in hundredths ~ keyword ~ expression. The text is lower-cased (A-Z); a
-blank in an expression stands for any white space, hyphen or comment sign between words. The keyword is in every match of its
-expression; a text without it isn't searched. Higher priorities win: 90 identifiers, 80 full
+blank in an expression stands for any white space, hyphen or comment sign between words. The keyword, or one of several with | between, is
+in every match of its expression; a text without it isn't searched. Higher priorities win: 90 identifiers, 80 full
 titles with version, 70 addresses, 60 sentences of the licence text, 50 names, 40 general notices.
 """
 
@@ -246,7 +246,7 @@ public-domain ~ 45 ~ 70 ~ public ~ \bpublic domain dedication\b
 public-domain ~ 47 ~ 75 ~ dedicate ~ dedicates? (?:this|the) (?:work|software) to the public domain
 proprietary ~ 45 ~ 60 ~ proprietary ~ \bproprietary and confidential\b
 proprietary ~ 45 ~ 60 ~ unauthorized ~ unauthorized (?:copying|reproduction|distribution) (?:of this file|is (?:strictly )?prohibited)
-proprietary ~ 45 ~ 60 ~ consent ~ without (?:the )?(?:prior|express) written (?:consent|permission) of
+proprietary ~ 45 ~ 60 ~ written ~ without (?:the )?(?:prior|express) written (?:consent|permission) of
 commercial ~ 45 ~ 50 ~ commercial ~ \bcommercial licen[sc]e (?:agreement|is required|key)\b
 eula ~ 45 ~ 60 ~ end ~ \bend user licen[sc]e agreement\b
 non-commercial ~ 45 ~ 55 ~ commercial ~ \bfor non ?commercial (?:use|purposes) only\b
@@ -255,7 +255,7 @@ copyright ~ 40 ~ 30 ~ copyright ~ \ball rights reserved\b.{0,40}copyright|copyri
 copyright ~ 30 ~ 20 ~ copyright ~ \bcopyright (?:\(c\) )?(?:19|20)\d\d\b
 dual ~ 48 ~ 50 ~ dual ~ \bdual licen[sc]ed\b
 unknown-license ~ 20 ~ 20 ~ licen ~ \blicen[sc]ed under (?:the )?[\w.+-]+
-unknown-license ~ 20 ~ 20 ~ licen ~ \bsee (?:the )?(?:file )?(?:licen[sc]e|copying)(?:\.txt|\.md)?\b
+unknown-license ~ 20 ~ 20 ~ licen|copying ~ \bsee (?:the )?(?:file )?(?:licen[sc]e|copying)(?:\.txt|\.md)?\b
 unknown-license ~ 20 ~ 20 ~ permission ~ \bpermission is (?:hereby )?granted\b
 unknown-license ~ 15 ~ 10 ~ licen ~ \bunder the terms of the [\w.+-]+ licen[sc]e\b
 """

@@ -37,8 +37,9 @@ def rules() -> tuple[object, list[list[int]], list[tuple[str, int, float, re.Pat
 
     found, by_keyword = [], {}
     for line in TEXT.strip().splitlines():
-        label, priority, confidence, keyword, expression = line.split(" ~ ", 4)
-        by_keyword.setdefault(keyword, []).append(len(found))
+        label, priority, confidence, keywords, expression = line.split(" ~ ", 4)
+        for keyword in keywords.split("|"):
+            by_keyword.setdefault(keyword, []).append(len(found))
         found.append((label, int(priority), int(confidence) / 100, re.compile(expression.replace(" ", r"(?:[\s*/#;:-]+)").encode())))
     automaton = ahocorasick.Automaton()
     for k, keyword in enumerate(by_keyword):
@@ -73,10 +74,9 @@ def detect(low: bytes) -> list[tuple[int, int, int, int]]:
     """Accepted detections (start, end, priority, rule) in a lower-cased text."""
     automaton, behind, known = rules()
     found = []
-    for k in {k for _, k in automaton.iter(low.decode("latin-1"))}:
-        for r in behind[k]:
-            _, priority, _, expression = known[r]
-            found += [(m.start(), m.end(), priority, r) for m in expression.finditer(low) if m.end() > m.start()]
+    for r in {r for k in {k for _, k in automaton.iter(low.decode("latin-1"))} for r in behind[k]}:
+        _, priority, _, expression = known[r]
+        found += [(m.start(), m.end(), priority, r) for m in expression.finditer(low) if m.end() > m.start()]
     return suppress(found) if found else []
 
 
