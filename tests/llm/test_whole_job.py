@@ -3,6 +3,9 @@
 import itertools
 import random
 import re
+import zlib
+
+import numpy as np
 
 
 def prose(r, n, words=4000):
@@ -107,3 +110,19 @@ def test_licence_notices_without_the_usual_words(spark, tmp_path):
     found = {f["doc_id"]: (f["labels"], f["score"], f["n_detections"]) for f in op2_license_scan(spark, documents(spark, tmp_path, texts)).collect()}
     own, unknown = ("proprietary", 0.6, 1), ("unknown-license", 0.2, 1)
     assert [found[i] for i in range(len(texts))] == [own, own, unknown, unknown, own, unknown, ("", 0.0, 0)]
+
+
+def test_added_tokens_are_encoded_as_by_the_plain_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tokenloom.llm.wavelet import op7_wavelet_ids, public_vocabulary
+
+    model = Tokenizer.from_file(public_vocabulary())
+    texts = ["hi <|endoftext|> there", "plain", "<|endof", "text|> <|startoftext|>", "a<|STARTOFTEXT|>b<|endoftext|>", None, "<|endoftext|>", "<|endof text|>", "<|endoftext|><|endoftext|> é <|pad|>", "", "last words"]
+    found = {f["doc_id"]: f for f in op7_wavelet_ids(spark, documents(spark, tmp_path, texts)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        start += len(ids)
+    assert 49407 in model.encode(texts[0], add_special_tokens=False).ids

@@ -208,13 +208,15 @@ _MARK = byte_table([b for b in range(33, 127) if not chr(b).isalnum() and b != 3
 
 
 class Words:
-    """The tokenizer over words, which none of its tokens crosses; known words are kept."""
+    """The tokenizer over words, which none of its tokens crosses; known words are kept. A text with one of the tokenizer's added
+    tokens in it is encoded whole, so that this becomes its id as in a plain call."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.added = [t.content.encode().lower() for t in self.model.get_added_tokens_decoder().values()]
         self.model.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
         self.final = np.array([t.endswith("</w>") for t, _ in sorted(self.model.get_vocab().items(), key=lambda x: x[1])])
@@ -242,8 +244,36 @@ class Words:
             for word, found in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
 
+    def with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The rows that have an added token in them, in any case."""
+        raw, found = LOWER[data].tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    found.add(row)
+                    at = raw.find(token, int(offsets[row + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return sorted(found)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, and the number of each row's."""
+        ids, counts = self.encode_words(data, offsets)
+        whole = self.with_added(data, offsets)
+        if not whole:
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        self.model.encode_special_tokens = False
+        for row in whole:
+            text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
+            parts[row] = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.model.encode_special_tokens = True
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, with added tokens as plain text."""
         data, offsets = apart(data, offsets)
         starts, _ = word_bounds(data, offsets, NOT_SPACE)
         words = data.tobytes().split()
