@@ -126,3 +126,15 @@ def test_added_tokens_are_encoded_as_by_the_plain_library(spark, tmp_path):
         assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
         start += len(ids)
     assert 49407 in model.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_fit_doesnt_depend_on_repeated_doc_ids(spark):
+    from tokenloom.llm import quality
+
+    r = random.Random(23)
+    good = lambda: "\n".join(prose(r, 12) + "." for _ in range(6))
+    bad = lambda: "\n".join(" | ".join(f"w{r.randrange(50)}" for _ in range(8)) for _ in range(6))
+    rows = [(0, good() + "\n" * (k % 7)) for k in range(400)] + [(i, good() if i % 2 else bad()) for i in range(1, 20)]
+    labels = spark.createDataFrame([(i, int(i == 0 or i % 2)) for i in range(20)], "doc_id long, quality int")
+    fits = [quality.fit_on(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), labels, per_class=20) for order in (rows, rows[::-1])]
+    assert fits[0] == fits[1] != quality.DEFAULT

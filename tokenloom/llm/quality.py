@@ -245,12 +245,14 @@ def _line_bits(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> Chain:
-    """Fit on the first ``per_class`` labelled documents of each quality, by hash of doc_id: a bounded sample."""
+    """Fit on the first ``per_class`` labelled documents of each quality, by hash of doc_id: a bounded sample. Of rows with one
+    doc_id the one of the least line features counts, so the fit doesn't depend on the order of rows."""
     parts = [labels.where(F.col("quality") == q).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select("doc_id", text_or_empty(docs).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = map_slices(rows, _line_bits, "doc_id long, quality int, bits array<long>").limit(8 * per_class).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["bits"]))
+    lines = map_slices(rows, _line_bits, "doc_id long, quality int, bits array<long>")
+    found = lines.groupBy("doc_id", "quality").agg(F.min("bits").alias("bits")).collect()  # at most 2 * per_class rows
+    found.sort(key=lambda r: (r["doc_id"], r["quality"]))
     if len({r["quality"] for r in found}) < 2:
         return DEFAULT
     bits = np.concatenate([np.array(r["bits"], np.int64) for r in found])
