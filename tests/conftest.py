@@ -1,4 +1,3 @@
-import json
 import os
 import sys
 
@@ -6,6 +5,9 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from helpers import added, document
 
 
 @pytest.fixture(scope="session")
@@ -30,14 +32,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def added(content, token_id, special=True):
-    return {"id": token_id, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": special}
-
-
-def document(model, **parts):
-    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None} | parts | {"model": model})
-
-
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
@@ -77,7 +71,3 @@ def unigram():
 def wordlevel():
     tokens = ["[UNK]", "the", "cat", "sat", "on", "mat", "dog", "ran", "fast"]
     return document({"type": "WordLevel", "vocab": {t: i for i, t in enumerate(tokens)}, "unk_token": "[UNK]"}, pre_tokenizer={"type": "Whitespace"})
-
-
-def word_document(tokens):
-    return document({"type": "WordLevel", "vocab": {t: i for i, t in enumerate(tokens)}, "unk_token": "[UNK]"}, pre_tokenizer={"type": "WhitespaceSplit"})

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import word_document
+from helpers import word_document
 from tokenloom.functions import text as T
 from tokenloom.operators import compare as C
 from tokenloom.operators import remap as R
