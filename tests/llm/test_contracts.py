@@ -78,17 +78,36 @@ def test_exact_copies(spark, awkward):
     assert exact_dedup.deduplicate(awkward).count() == len(texts)
 
 
-def test_directory_splits_until_buckets_fit():
+def test_directory_splits_until_buckets_fit(spark):
     r = random.Random(1)
-    counts = {r.randrange(1 << 16): r.randrange(1, 50) for _ in range(3000)}
-    entries = exact_dedup.directory(counts, 200)
-    assert [s for s, _, _ in entries] == sorted(counts)
-    sizes, depths = collections.Counter(), {}
-    for slot, bucket, depth in entries:
-        sizes[bucket] += counts[slot]
-        assert slot >> (16 - depth) == bucket >> (16 - depth) and depths.setdefault(bucket, depth) == depth
-    assert all(n <= 200 or depths[b] == 16 for b, n in sizes.items()) and len(sizes) > 100
-    assert exact_dedup.directory({5: 10**9}, 10)[0][2] == 16 and exact_dedup.directory({}, 10) == []
+    keys = [r.getrandbits(64) - (1 << 63) for _ in range(1500)] + [r.getrandbits(54) for _ in range(300)]  # the latter share ten leading bits
+    rows = spark.createDataFrame([(k,) for k in keys], "key long")
+    known = exact_dedup.directory(rows, 50)
+    found = plain(known.find(rows))
+    assert sorted(r["key"] for r in found) == sorted(keys)
+    by = collections.defaultdict(list)
+    for row in found:
+        by[row["bucket"], row["depth"]].append(row["key"] % (1 << 64))
+    most = 6 + exact_dedup.SPLITS
+    for (bucket, depth), own in by.items():
+        assert {k >> (64 - depth) for k in own} == {bucket >> (most - depth)} and (len(own) <= 50 or depth == most)
+        above = [k % (1 << 64) for k in keys if k % (1 << 64) >> (65 - depth) == own[0] >> (65 - depth)]
+        assert depth == 6 or len(above) > 50  # no bucket is split without need
+    assert len({d for _, d in by}) > 2 and known.slots.count() <= 1 << known.bits
+    assert exact_dedup.directory(rows.limit(0), 10).find(rows.limit(0)).count() == 0
+
+
+def test_index_answers_and_grows(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 170).alias("text"))
+    slim = exact_dedup.cut(exact_dedup.keys(docs), "keys")
+    known, index = exact_dedup.build_index(docs, slim, 16)
+    assert exact_dedup.probe(slim, known, index).count() == 600 and index.select("bucket").distinct().count() > 4
+    assert exact_dedup.probe(slim, known, index.withColumn("bucket", F.col("bucket") + 1)).count() == 0
+    some, rest = docs.where("doc_id < 200"), docs.where("doc_id >= 200")
+    _, first = exact_dedup.build_index(some, exact_dedup.cut(exact_dedup.keys(some), "keys"), 16)
+    _, grown = exact_dedup.extend(first, rest, 16)
+    order = lambda df: sorted(map(tuple, df.select("bucket", "depth", "key", "chain", "text_sha256", "keep_id", "group_size").collect()))
+    assert order(grown) == order(index)
 
 
 def test_hot_group(spark):

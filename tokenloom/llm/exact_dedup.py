@@ -1,92 +1,131 @@
 """Exact deduplication over an extendible-hash index on shared files; DataFrame and SQL functions only.
 
-The index key is a 64-bit hash of the text. A directory maps the key's leading bits to buckets:
-beginning with one bucket, any that holds more distinct keys than its capacity is split by one
-more bit, doubling the directory where needed, down to 16 bits (a fuller bucket then keeps
-overflow pages). Each bucket is a range of keys and has one owner task, which writes its entries
-sorted by key. Texts are compared byte by byte: entries are grouped by key and whole text,
-copies being collapsed before the shuffle, and different texts with one key form a chain.
+The index key is a 64-bit hash of the text. A directory maps the key's leading bits to buckets: it begins with as many
+bits as the number of keys asks for, any bucket that holds more distinct keys than its capacity is split by one
+more bit, and the directory doubles to the deepest bucket's bits, several of its slots pointing to a shallower one. A bucket is a range
+of keys and has one owner task. Whole texts are sent to their buckets' owners, which compare them byte by byte,
+put equal ones together and chain different ones of one key; copies of hot texts are collapsed before they are sent.
+Entries are written by bucket, key and chain. Every row then probes the index: its key's slot in the directory, the bucket, the key in it, and the
+entry of the chain with the row's digest.
 
 A null text is an empty one. Of equal texts the row with the largest doc_id stays; null doc_ids
 lose to all others, and of rows that also agree in doc_id exactly one stays. An empty table gives an
-empty result, extra columns don't matter.
+empty result, extra columns don't matter. ``extend`` adds documents to a written index.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import cut, text_or_empty
 
-DEPTH = 16
-CAPACITY = 4096
-#: A text that makes up more than one in so many rows is looked up by broadcast; there are at most so many.
+CAPACITY = 1024
+#: A bucket may be split so many times below the directory's first bits, which suit the number of keys; a 64-bit hash of that
+#: many keys never needs as many. A bucket that did would keep all its entries (an overflow chain).
+SPLITS, MOST_BITS = 8, 48
+#: A text that makes up more than one in so many rows is collapsed first and looked up by broadcast; there are fewer than so many.
 HOT_SHARE = 1000
-
-
-def directory(counts: dict[int, int], capacity: int = CAPACITY, depth: int = DEPTH) -> list[tuple[int, int, int]]:
-    """Split overfull buckets; return (leading bits, bucket, local depth) for each of the 2**depth slots in use.
-
-    ``counts`` has the distinct keys by leading ``depth`` bits: at most 2**depth numbers.
-    """
-    out = []
-    todo = [(0, 0, sorted(counts.items()))]
-    while todo:
-        prefix, local, slots = todo.pop()
-        if sum(n for _, n in slots) <= capacity or local == depth:
-            bucket = prefix << (depth - local)  # the range's first slot names the bucket
-            out += [(slot, bucket, local) for slot, _ in slots]
-            continue
-        shift = depth - local - 1
-        for bit in (0, 1):
-            half = [(s, n) for s, n in slots if (s >> shift) & 1 == bit]
-            if half:
-                todo.append((prefix << 1 | bit, local + 1, half))
-    return sorted(out)
+#: A directory of at most so many slots (16 bytes each) is broadcast; a larger one is joined by shuffle.
+BROADCAST_SLOTS = 1 << 16
+
+
+@dataclass
+class Directory:
+    """slots: slot (the key's leading ``bits``), bucket and its local depth."""
+
+    slots: DataFrame
+    bits: int
+    small: bool
+
+    def find(self, rows: DataFrame) -> DataFrame:
+        """Rows with their key's bucket and its depth."""
+        slots = F.broadcast(self.slots) if self.small else self.slots
+        return rows.withColumn("slot", F.shiftrightunsigned("key", 64 - self.bits)).join(slots, "slot").drop("slot")
+
+
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """Split overfull buckets of distinct keys."""
+    n = keys.count()
+    least = min(MOST_BITS - SPLITS, max(0, math.ceil(math.log2(max(1, n) / capacity))))
+    most = least + SPLITS
+    fine = keys.groupBy(F.shiftrightunsigned("key", 64 - most).alias("slot")).agg(F.count("*").alias("n"))
+    levels = fine.select("slot", "n", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("depth"))
+    levels = levels.groupBy("depth", F.expr(f"shiftright(slot, {most} - depth)").alias("prefix")).agg((F.sum("n") > capacity).alias("full"))
+    levels = cut(levels, "buckets")
+    split = levels.where("full").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+    kept = levels.where(f"NOT full OR depth = {most}").withColumn("above", F.shiftright("prefix", 1))
+    buckets = kept.where(F.col("depth") == least).unionByName(kept.where(F.col("depth") > least).join(split, ["depth", "above"], "left_semi"))
+    bits = max(1, buckets.agg(F.max("depth")).first()[0] or 0)
+    first = F.expr(f"shiftleft(prefix, {bits} - depth)")
+    slots = buckets.select(
+        F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {bits} - depth)") - 1)).alias("slot"),
+        F.expr(f"shiftleft(prefix, {most} - depth)").alias("bucket"), "depth",
+    )
+    slots = cut(slots, "directory")
+    return Directory(slots, bits, slots.count() <= BROADCAST_SLOTS)
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """One slim row for each document: doc_id, key, slot and digest."""
+    """One slim row for each document: doc_id, key, digest and a number of its own (stable once written)."""
     text = text_or_empty(docs)
-    key = F.xxhash64(text)
-    return docs.select(docs["doc_id"], key.alias("key"), F.shiftrightunsigned(key, 64 - DEPTH).cast("int").alias("slot"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
-
-
-def build_index(docs: DataFrame, slim: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Write the index: bucket, depth, key, chain, text_sha256, keep_id, group_size; one row for each distinct text."""
-    spark = docs.sparkSession
-    sizes = slim.select("slot", "key").distinct().groupBy("slot").count().collect()  # at most 2**DEPTH rows
-    entries = directory({r["slot"]: r["count"] for r in sizes}, capacity)
-    slots = spark.createDataFrame(entries, "slot int, bucket int, depth int")
+    return docs.select(docs["doc_id"], F.xxhash64(text).alias("key"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row"))
+
+
+def build_index(docs: DataFrame, slim: DataFrame, capacity: int = CAPACITY, earlier: DataFrame | None = None) -> tuple[Directory, DataFrame]:
+    """The directory and the written index: bucket, depth, key, chain, text_sha256, keep_id, group_size; a row for each distinct text.
+    Entries of an ``earlier`` index are taken over; a new text is one of them if key and digest agree."""
+    counts = cut(slim.groupBy("key").agg(F.count("*").alias("rows")), "key-counts")
+    every = counts.select("key")
+    if earlier is not None:
+        every = every.union(earlier.select("key")).distinct()
+    known = directory(every, capacity)
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("rows") * HOT_SHARE > total).select("key"))
     text = text_or_empty(docs)
-    key = F.xxhash64(text)
-    rows = docs.select(docs["doc_id"], text.alias("text"), key.alias("key"), F.shiftrightunsigned(key, 64 - DEPTH).cast("int").alias("slot"))
-    grouped = rows.groupBy("slot", "key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    slim_groups = grouped.select("slot", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    owned = slim_groups.join(F.broadcast(slots), "slot").drop("slot").repartition("bucket")
+    rows = known.find(docs.select(docs["doc_id"].alias("keep_id"), text.alias("text"), F.xxhash64(text).alias("key")))
+    whole = ["bucket", "depth", "key", "text"]
+    many = rows.join(hot, "key", "left_semi").groupBy(*whole).agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size"))
+    few = rows.join(hot, "key", "left_anti").withColumn("group_size", F.lit(1).cast("long"))
+    owned = few.unionByName(many).repartition("bucket").groupBy(*whole).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    entries = owned.select("bucket", "depth", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    if earlier is not None:
+        old = known.find(earlier.select("key", "text_sha256", "keep_id", "group_size"))
+        both = entries.unionByName(old).repartition("bucket").groupBy("bucket", "depth", "key", "text_sha256")
+        entries = both.agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy("text_sha256")) - 1
-    return cut(owned.withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain"), "hash-index")
+    return known, cut(entries.withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain"), "hash-index")
 
 
-def look_up(slim: DataFrame, index: DataFrame) -> DataFrame:
-    """Each row with its group. Hot texts, of which there are fewer than HOT_SHARE, are broadcast; the rest shuffles."""
-    entry = index.select("key", "text_sha256", "keep_id", "group_size")
+def probe(slim: DataFrame, known: Directory, index: DataFrame) -> DataFrame:
+    """Each row with its entry, by way of directory, bucket, key and chain. Hot entries, of which there are fewer than HOT_SHARE, are
+    broadcast; the rest shuffles."""
     total = index.agg(F.sum("group_size")).first()[0] or 0
-    hot, cold = entry.where(F.col("group_size") * HOT_SHARE > total), entry.where(F.col("group_size") * HOT_SHARE <= total)
-    on = ["key", "text_sha256"]
-    near = slim.join(F.broadcast(hot), on)
-    far = slim.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
-    found = near.unionByName(far)
-    first = F.row_number().over(W.partitionBy("key", "text_sha256", "doc_id").orderBy(F.lit(0)))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (first == 1))
+    hot, cold = index.where(F.col("group_size") * HOT_SHARE > total), index.where(F.col("group_size") * HOT_SHARE <= total)
+    on = ["bucket", "key", "text_sha256"]
+    rows = known.find(slim).drop("depth")
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return near.unionByName(far)
 
 
 def group_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Return doc_id, keep_id, group_size, kept, text_sha256 and key for every row."""
+    """Return doc_id, keep_id, group_size, kept, text_sha256, key, bucket, depth and chain for every row."""
     slim = cut(keys(docs), "keys")
-    return look_up(slim, build_index(docs, slim, capacity)).drop("slot")
+    found = cut(probe(slim, *build_index(docs, slim, capacity)), "probed")
+    # One row of each group has the doc_id that stays; of several the first by number, which sums up before it shuffles.
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("bucket", "key", "chain").agg(F.min("_row").alias("_row"))
+    marked = found.join(first.select("_row", F.lit(True).alias("_first")), "_row", "left")
+    return marked.select("doc_id", "keep_id", "group_size", F.col("_first").isNotNull().alias("kept"), "text_sha256", "key", "bucket", "depth", "chain")
+
+
+def extend(index: DataFrame, docs: DataFrame, capacity: int = CAPACITY) -> tuple[Directory, DataFrame]:
+    """A new directory and index over the documents of a written one and more documents."""
+    return build_index(docs, cut(keys(docs), "keys"), capacity, index)
 
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
