@@ -176,6 +176,20 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer than so many, so these can be broadcast.
+HOT_SHARE = 1000
+
+
+def split_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, share: int = HOT_SHARE) -> DataFrame:
+    """Inner join with a written ``side`` of distinct keys, whose ``weight`` says how many rows each has. The hot ones, fewer than ``share``,
+    are broadcast, so that none of their rows is moved; the others are joined by shuffle."""
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    hot, cold = side.where(F.col(weight) * share > total), side.where(F.col(weight) * share <= total)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return near.unionByName(far)
+
+
 def streamed(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Groups of rows with equal keys from batches sorted by them."""
     held: list[pd.DataFrame] = []

@@ -22,16 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut, text_or_empty
+from tokenloom.llm.common import HOT_SHARE, cut, split_join, text_or_empty
 
-CAPACITY = 1024
+CAPACITY = 512
 #: A bucket may be split so many times below the directory's first bits, which suit the number of keys; a 64-bit hash of that
 #: many keys never needs as many. A bucket that did would keep all its entries (an overflow chain).
 SPLITS, MOST_BITS = 8, 48
-#: A text that makes up more than one in so many rows is collapsed first and looked up by broadcast; there are fewer than so many.
-HOT_SHARE = 1000
 #: A directory of at most so many slots (16 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_SLOTS = 1 << 16
+BROADCAST_SLOTS = 1 << 18
 
 
 @dataclass
@@ -104,13 +102,7 @@ def build_index(docs: DataFrame, slim: DataFrame, capacity: int = CAPACITY, earl
 def probe(slim: DataFrame, known: Directory, index: DataFrame) -> DataFrame:
     """Each row with its entry, by way of directory, bucket, key and chain. Hot entries, of which there are fewer than HOT_SHARE, are
     broadcast; the rest shuffles."""
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    hot, cold = index.where(F.col("group_size") * HOT_SHARE > total), index.where(F.col("group_size") * HOT_SHARE <= total)
-    on = ["bucket", "key", "text_sha256"]
-    rows = known.find(slim).drop("depth")
-    near = rows.join(F.broadcast(hot), on)
-    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
-    return near.unionByName(far)
+    return split_join(known.find(slim).drop("depth"), index, ["bucket", "key", "text_sha256"], "group_size")
 
 
 def group_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
