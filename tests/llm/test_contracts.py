@@ -464,3 +464,22 @@ def test_chat_repair(spark, monkeypatch):
             assert heads[-1] == "assistant" and heads[heads[0] == "system" :: 2] == ["user"] * (len(heads[heads[0] == "system" :]) // 2) and f["text"].endswith("<|im_end|>\n")
             assert f["text"].count("<|im_end|>") == len(heads)
     assert chat.repair(table.limit(0)).count() == 0
+
+
+def test_long_pieces_equal_the_library():
+    """Pieces without a break, from just too long for one query to 20,000 bytes, random or periodic."""
+    import tiktoken
+
+    path, source = bpe.public_vocabulary()
+    own = bpe.coder(path, source)
+    model = tiktoken.Encoding("one", pat_str=r"[\s\S]+", mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(16)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "acgt", "0123456789abcdef", "日本語漢字かなカナ的一是", "-=_*#", "éèàü", "etaoin "]
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (129, 300, 2000)] + ["abc" * 2000, "x" * 5000, " " * 3001, "the" * 700 + "q" + "the" * 701]
+    texts.append("".join(r.choice(alphabets[0]) for _ in range(20_000)))
+    for _ in range(60):
+        part = "".join(r.choice(r.choice(alphabets)) for _ in range(r.randrange(2, 12)))
+        texts.append((part * 300)[: r.randrange(130, 900)])
+    raws = [t.encode() for t in texts if t.encode() not in own.ranks]
+    for raw, ids in zip(raws, own.contract_long(raws), strict=True):
+        assert ids.tolist() == model.encode_ordinary(raw.decode())

@@ -9,17 +9,20 @@ ordered aggregation.
 A null text is an empty one and has no tokens. Whole texts are encoded; a piece's result is kept
 in the worker for its next occurrence, at most CACHE pieces at once. Within a round the row at a contracted
 pair goes and its right neighbour becomes the merged token, so no row needs its neighbours' neighbours.
-Pieces of more than LONG bytes contract, in a round, all pairs of the least rank that don't
-overlap, where no later pair of lower rank can come of them; otherwise the leftmost only. As a recursive query keeps
-the rows of all its rounds, pieces of more than HUGE bytes without a break are contracted outside of the database instead, by
-a heap of pairs, with the same results; and the pieces of a query are as many as ROWS allows.
+
+A piece of more than LONG bytes without a break is cut into chunks of CHUNK bytes, which are contracted as pieces are, and mended at the seams: the
+tokens around a seam are contracted together, and where the first and the last of them come out as they went in, the result takes their
+place. That is exact: contraction within two neighbouring tokens doesn't depend on what lies around them as long as nothing crosses
+their outer edges, so ids are a text's encoding if every two neighbours are the encoding of their own bytes. Where a
+window's edges move, it grows; so a piece that repeats a short pattern may be contracted whole, all pairs of the least rank at once
+where no later pair of lower rank can come of them, and of that query only the rows of the last round are held
+(USING KEY). Work and memory grow with a piece's length, not its square.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from functools import cache
 
@@ -35,7 +38,7 @@ from pyspark.sql import types as T
 from tokenloom.llm.common import map_slices, text_or_empty
 
 CACHE = 400_000
-LONG, HUGE = 256, 2048
+LONG, CHUNK, REACH = 128, 16, 8
 #: Rows of all rounds, or bytes decoded, by one query: bounds the database's memory.
 ROWS, DECODE_BYTES = 1_000_000, 1 << 20
 #: Text whose new pieces are learnt together: a query has a price of its own.
@@ -54,12 +57,12 @@ WITH RECURSIVE t(w, len, pos, tok, nxt) AS (
 SELECT w, list(tok ORDER BY pos) AS ids FROM t JOIN last USING (w, len) GROUP BY w ORDER BY w
 """
 
-#: The same for few long pieces: ``alone`` says that a rank's merges must be done one by one.
+#: The same for long windows; only their last round is kept. ``alone`` says that a rank's merges must be done one by one.
 _LONG = """
-WITH RECURSIVE t(w, step, pos, tok, nxt) AS (
-    SELECT w, 0, pos, tok, nxt FROM start
+WITH RECURSIVE t(w, pos, step, tok, nxt) USING KEY (w, pos) AS (
+    SELECT w, pos, 0, tok, nxt FROM start
     UNION ALL
-    SELECT w, step + 1, row_number() OVER (PARTITION BY w ORDER BY pos) - 1, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos)
+    SELECT w, row_number() OVER (PARTITION BY w ORDER BY pos) - 1, step + 1, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos)
     FROM (
         SELECT w, step, pos, CASE WHEN coalesce(lag(cut) OVER (PARTITION BY w ORDER BY pos), false) THEN least_rank ELSE tok END AS tok, cut
         FROM (
@@ -134,34 +137,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def contract(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece, by a heap of neighbouring pairs over a linked list."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-    heap: list[tuple[int, int, bytes]] = []
-
-    def push(i: int) -> None:
-        if i >= 0 and after[i] < len(parts):
-            joined = parts[i] + parts[after[i]]
-            if (rank := ranks.get(joined)) is not None:
-                heapq.heappush(heap, (rank, i, joined))
-
-    for i in range(len(parts)):
-        push(i)
-    while heap:
-        _, i, joined = heapq.heappop(heap)
-        j = after[i]
-        if not parts[i] or j >= len(parts) or parts[i] + parts[j] != joined:
-            continue  # one of the two has changed since
-        parts[i], parts[j] = joined, b""
-        after[i] = after[j]
-        if after[j] < len(parts):
-            before[after[j]] = i
-        push(before[i])
-        push(i)
-    return [ranks[p] for p in parts if p]
-
-
 class Coder:
     """Encoder and decoder over one database; used within one Python worker."""
 
@@ -169,6 +144,9 @@ class Coder:
         self.source = source
         self.ranks = read_ranks(path)
         self.known: dict[str, bytes] = {}
+        self.names = {rank: token for token, rank in self.ranks.items()}
+        self.lengths = np.zeros(max(self.names) + 1, np.int64)
+        self.lengths[list(self.names)] = [len(token) for token in self.names.values()]
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         table = merge_table(self.ranks)
@@ -192,12 +170,72 @@ class Coder:
         flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def contract(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The ids of byte strings, by as many queries as ROWS asks for."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raws)
+        order = sorted(range(len(raws)), key=lambda i: len(raws[i]))
+        at = 0
+        while at < len(order):
+            to, rows = at, 0
+            query = _SHORT if len(raws[order[at]]) <= LONG else _LONG
+            while to < len(order) and (query is _LONG or len(raws[order[to]]) <= LONG):
+                n = len(raws[order[to]])
+                rows += n * n // 2 if query is _SHORT else 8 * n
+                if to > at and rows > ROWS:
+                    break
+                to += 1
+            part = order[at:to]
+            for i, ids in zip(part, self._contract([raws[i] for i in part], query), strict=True):
+                out[i] = ids
+            at = to
+        return out
+
+    def contract_long(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The same for long strings: chunks first, then windows around their seams until these hold."""
+        chunks = [[raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] for raw in raws]
+        distinct = list(set().union(*chunks))
+        known = dict(zip(distinct, self.contract(distinct), strict=True))
+        tokens = [np.concatenate([known[c] for c in cut]) for cut in chunks]
+        #: Places of each string's open seams (before which byte), and how far a window reaches to either side.
+        seams = [{i: REACH for i in range(CHUNK, len(raw), CHUNK)} for raw in raws]
+        while any(seams):
+            windows: list[tuple[int, int, int, list[int]]] = []  # string, first and past its last token, seams
+            for k, open_seams in enumerate(seams):
+                if not open_seams:
+                    continue
+                ends = np.cumsum(self.lengths[tokens[k]])
+                places = sorted(open_seams)
+                reach = np.array([open_seams[p] for p in places])
+                low = np.searchsorted(ends, np.array(places) - reach, side="right")
+                high = np.minimum(np.searchsorted(ends, np.array(places) + reach, side="left") + 1, len(ends))
+                for place, a, b in zip(places, low.tolist(), high.tolist(), strict=True):
+                    if windows and windows[-1][0] == k and a < windows[-1][2]:
+                        _, first, last, own = windows.pop()
+                        windows.append((k, min(first, a), max(last, b), [*own, place]))
+                    else:
+                        windows.append((k, a, b, [place]))
+            bodies = [b"".join(map(self.names.__getitem__, tokens[k][a:b].tolist())) for k, a, b, _ in windows]
+            distinct = list(set(bodies))
+            known = dict(zip(distinct, self.contract(distinct), strict=True))
+            parts: dict[int, list[np.ndarray]] = {}
+            done: dict[int, int] = {}
+            for (k, a, b, own), body in zip(windows, bodies, strict=True):
+                old, new = tokens[k], known[body]
+                holds = (a == 0 or new[0] == old[a]) and (b == len(old) or new[-1] == old[b - 1])
+                for place in own:
+                    if holds:
+                        del seams[k][place]
+                    else:
+                        seams[k][place] = 2 * max(seams[k][p] for p in own)
+                parts.setdefault(k, []).extend([old[done.get(k, 0) : a], new if holds else old[a:b]])
+                done[k] = b
+            for k, found in parts.items():
+                tokens[k] = np.concatenate([*found, tokens[k][done[k] :]])
+        return tokens
+
     def learn(self, words: set[str]) -> None:
         """Encode pieces and keep the ids as little-endian 32-bit integers."""
         short, long = [], []
-        for word in [w for w in words if len(w) > HUGE // 4 and len(w.encode()) > HUGE]:
-            self.known[word] = np.array(contract(word.encode(), self.ranks), "<u4").tobytes()
-        words = {w for w in words if w not in self.known}
         for word in words:
             raw = word.encode()
             rank = self.ranks.get(raw)
@@ -205,18 +243,9 @@ class Coder:
                 self.known[word] = rank.to_bytes(4, "little")
             else:
                 (short if len(raw) <= LONG else long).append((word, raw))
-        for group, query in ((short, _SHORT), (long, _LONG)):
-            group.sort(key=lambda x: len(x[1]))
-            at = 0
-            while at < len(group):
-                to, rows = at, 0
-                while to < len(group) and (to == at or rows + len(group[to][1]) ** 2 // 2 <= ROWS):
-                    rows += len(group[to][1]) ** 2 // 2
-                    to += 1
-                part = group[at:to]
-                for (word, _), ids in zip(part, self._contract([raw for _, raw in part], query), strict=True):
-                    self.known[word] = ids.astype("<u4").tobytes()
-                at = to
+        for group, contract in ((short, self.contract), (long, self.contract_long)):
+            for (word, _), ids in zip(group, contract([raw for _, raw in group]) if group else [], strict=True):
+                self.known[word] = ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
