@@ -221,6 +221,22 @@ def test_fit_learns_held_out_lines(spark):
     assert quality.fit_on(docs, labels.limit(0)) == quality.DEFAULT
 
 
+def test_layout_is_no_evidence_and_junk_goes(spark):
+    """Clean prose stays however its lines are broken; rows of cells go; string ids and repeated labels are no hindrance."""
+    r = random.Random(17)
+    good = lambda: "\n".join(prose(r, 30).capitalize() + "." for _ in range(4))
+    bad = lambda: "\n".join("$$ " + " | ".join(f"w{r.randrange(90)}" for _ in range(8)) + " ##" for _ in range(6))
+    rows = [(str(i), good() if i % 2 else bad()) for i in range(160)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)] * 2, "doc_id long, quality int")
+    chain = quality.fit_on(docs, labels)
+    assert quality.fit_on(docs.repartition(5), labels) == chain
+    errors = quality.held_out(docs, labels)
+    assert errors["good"] + errors["junk"] == 80 and errors["good_lost"] == errors["junk_kept"] == 0
+    forms = [quality.broken(good(), width, bare) for width in (2, 4, 8, 20) for bare in (False, True)]
+    assert all(f["kept"] for f in plain(quality.judge(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string"), chain)))
+
+
 def test_bpe_equals_tiktoken(spark, awkward):
     import tiktoken
 
