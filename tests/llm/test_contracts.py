@@ -498,4 +498,4 @@ def test_long_pieces_equal_the_library():
         texts.append((part * 300)[: r.randrange(130, 900)])
     raws = [t.encode() for t in texts if t.encode() not in own.ranks]
     for raw, ids in zip(raws, own.contract_long(raws), strict=True):
-        assert ids.tolist() == model.encode_ordinary(raw.decode())
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode_ordinary(raw.decode())

@@ -80,9 +80,10 @@ WITH RECURSIVE t(w, pos, step, tok, nxt) USING KEY (w, pos) AS (
 SELECT w, list(tok ORDER BY pos) AS ids FROM t JOIN last USING (w, step) GROUP BY w ORDER BY w
 """
 
+#: Sorted rows go into the aggregation in their order: one thread, and string_agg keeps it.
 _DECODE = """
-SELECT d, string_agg(v.piece, '' ORDER BY pos) AS hex
-FROM (SELECT d, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM coded) c JOIN vocab v USING (tok)
+SELECT d, string_agg(piece, '') AS hex
+FROM (SELECT d, pos, piece FROM coded JOIN vocab USING (tok) ORDER BY d, pos)
 GROUP BY d ORDER BY d
 """
 
@@ -91,16 +92,10 @@ GROUP BY d ORDER BY d
 def _pattern(source: str):
     """The pattern in Python's engine, with letters and numbers spelt out, which is several times as fast."""
     classes = {}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))  # neither side of the gap is a letter or number
     for name in ("L", "N"):
-        member = regex.compile(rf"\p{{{name}}}").fullmatch
-        points = [p for p in range(0x110000) if not 0xD800 <= p <= 0xDFFF and member(chr(p))]
-        runs, begin = [], None
-        for i, p in enumerate(points):
-            begin = p if begin is None else begin
-            if i + 1 == len(points) or points[i + 1] != p + 1:
-                runs.append(f"\\U{begin:08x}-\\U{p:08x}")
-                begin = None
-        classes[name] = "".join(runs)
+        runs = regex.findall(rf"\p{{{name}}}+", every)
+        classes[name] = "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run in runs)
     space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     plain = source.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{classes['L']}{classes['N']}]")
     plain = plain.replace(r"\p{L}", f"[{classes['L']}]").replace(r"\p{N}", f"[{classes['N']}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
@@ -156,7 +151,7 @@ class Coder:
         self.db.register("given_vocab", vocab)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given_merges; CREATE TABLE vocab AS SELECT * FROM given_vocab")
 
-    def _contract(self, words: list[bytes], query: str) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         lengths = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(lengths)
         tok = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
@@ -167,12 +162,12 @@ class Coder:
         self.db.register("start", start)
         ids = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("start")
-        flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
+        flat, cuts = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def contract(self, raws: list[bytes]) -> list[np.ndarray]:
-        """The ids of byte strings, by as many queries as ROWS asks for."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raws)
+    def contract(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of byte strings as little-endian 32-bit integers, by as many queries as ROWS asks for."""
+        out = [b""] * len(raws)
         order = sorted(range(len(raws)), key=lambda i: len(raws[i]))
         at = 0
         while at < len(order):
@@ -190,12 +185,12 @@ class Coder:
             at = to
         return out
 
-    def contract_long(self, raws: list[bytes]) -> list[np.ndarray]:
+    def contract_long(self, raws: list[bytes]) -> list[bytes]:
         """The same for long strings: chunks first, then windows around their seams until these hold."""
         chunks = [[raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] for raw in raws]
         distinct = list(set().union(*chunks))
         known = dict(zip(distinct, self.contract(distinct), strict=True))
-        tokens = [np.concatenate([known[c] for c in cut]) for cut in chunks]
+        tokens = [np.frombuffer(b"".join([known[c] for c in cut]), "<u4") for cut in chunks]
         #: Places of each string's open seams (before which byte), and how far a window reaches to either side.
         seams = [{i: REACH for i in range(CHUNK, len(raw), CHUNK)} for raw in raws]
         while any(seams):
@@ -220,7 +215,7 @@ class Coder:
             parts: dict[int, list[np.ndarray]] = {}
             done: dict[int, int] = {}
             for (k, a, b, own), body in zip(windows, bodies, strict=True):
-                old, new = tokens[k], known[body]
+                old, new = tokens[k], np.frombuffer(known[body], "<u4")
                 holds = (a == 0 or new[0] == old[a]) and (b == len(old) or new[-1] == old[b - 1])
                 for place in own:
                     if holds:
@@ -231,7 +226,7 @@ class Coder:
                 done[k] = b
             for k, found in parts.items():
                 tokens[k] = np.concatenate([*found, tokens[k][done[k] :]])
-        return tokens
+        return [t.tobytes() for t in tokens]
 
     def learn(self, words: set[str]) -> None:
         """Encode pieces and keep the ids as little-endian 32-bit integers."""
@@ -244,8 +239,8 @@ class Coder:
             else:
                 (short if len(raw) <= LONG else long).append((word, raw))
         for group, contract in ((short, self.contract), (long, self.contract_long)):
-            for (word, _), ids in zip(group, contract([raw for _, raw in group]) if group else [], strict=True):
-                self.known[word] = ids.astype("<u4").tobytes()
+            if group:
+                self.known.update(zip([word for word, _ in group], contract([raw for _, raw in group]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -266,10 +261,12 @@ class Coder:
             while to < len(coded) and (to == at or size + len(coded[to]) * 4 <= DECODE_BYTES):
                 size += len(coded[to]) * 4
                 to += 1
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded[at:to]])])
-            ids = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate([np.asarray(x, np.int64) for x in coded[at:to]])))
-            self.db.register("coded", pa.table({"d": np.arange(at, to), "ids": ids}))
-            for d, text in self.db.execute(_DECODE).fetchall():
+            lengths = np.array([len(x) for x in coded[at:to]], np.int64)
+            before = np.cumsum(lengths) - lengths
+            tok = np.concatenate(coded[at:to]).astype(np.int64)
+            self.db.register("coded", pa.table({"d": np.repeat(np.arange(at, to, dtype=np.int32), lengths), "pos": np.arange(len(tok)) - np.repeat(before, lengths), "tok": tok}))
+            found = self.db.sql(_DECODE).to_arrow_table()
+            for d, text in zip(found.column("d").to_pylist(), found.column("hex").to_pylist(), strict=True):
                 out[d] = bytes.fromhex(text)
             self.db.unregister("coded")
             at = to
