@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -131,6 +132,21 @@ def test_shards(spark):
         assert max(counts) - min(counts) <= 1 and all(sorted(s) == list(range(len(s))) for s in by.values())
         again = {r["doc_id"]: (r["shard"], r["slot"]) for r in plain(sharding.shard(docs.repartition(7)))}
         assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
+        a = math.isqrt(n - 1) + 1
+        b = -(-n // a)
+        for r in rows:  # the network once more, in plain arithmetic
+            x = r["row"]
+            while True:
+                left, right = divmod(x, b)
+                for i, (u, v, w) in enumerate(sharding.round_keys(sharding.SEED)):
+                    half = right if i % 2 == 0 else left
+                    once = (half * u + v) % sharding.PRIME
+                    f = (once * once + w * once + half) % sharding.PRIME
+                    left, right = ((left + f) % a, right) if i % 2 == 0 else (left, (right + f) % b)
+                x = left * b + right
+                if x < n:
+                    break
+            assert (r["shard"], r["slot"]) == (x % 16, x // 16)
     order = [r["shard"] * 1000 + r["slot"] for r in sorted(rows, key=lambda r: r["row"])]
     assert order != sorted(order)
 

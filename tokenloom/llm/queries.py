@@ -16,5 +16,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op9_sharding": sharding.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
