@@ -67,7 +67,7 @@ KINDS = {"L": "letter", "N": "number", "P": "punctuation", "S": "symbol", "M": "
 @cache
 def _points() -> pa.Table:
     out = []
-    for p in range(0x110000):
+    for p in (*range(0x40000), *range(0xE0000, 0xE1000)):  # no other plane has assigned characters but private ones
         c = chr(p)
         major = unicodedata.category(c)
         if major in ("Cn", "Cs", "Co"):

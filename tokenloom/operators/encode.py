@@ -32,7 +32,9 @@ def wordpiece_of(distinct: DataFrame, vocab: DataFrame, unk: int, prefix: str =
     """
     size = F.length("token")
     short = distinct.where(size <= most)
-    spans = short.select("token", F.explode(F.sequence(F.lit(1), size)).alias("at")).select("token", "at", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("at") + 1)).alias("len"))
+    longest = vocab.agg(F.max(F.length("token"))).first()[0] or 0  # no longer span can be a piece
+    spans = short.select("token", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    spans = spans.select("token", "at", F.explode(F.sequence(F.lit(1), F.least(F.length("token") - F.col("at") + 1, F.greatest(F.lit(longest), F.lit(1))))).alias("len"))
     piece = F.expr("substring(token, at, len)")
     spans = spans.withColumn("piece", F.when(F.col("at") == 1, piece).otherwise(F.concat(F.lit(prefix), piece)))
     hits = spans.join(vocab.select(F.col("token").alias("piece"), "token_id"), "piece")

@@ -13,29 +13,30 @@ from pyspark.sql import functions as F
 from tokenloom.operators.presets import resolve_preset
 from tokenloom.operators.ranking import ranked
 from tokenloom.sources.corpus import read_token_file
-from tokenloom.sources.scratch import cut
+from tokenloom.sources.scratch import cut, cut_counted
 
 log = logging.getLogger(__name__)
+#: Dependencies that a round of the closure follows.
+HOPS = 4
 STRUCTURAL, CORPUS, DEPENDENCY = "structural", "corpus", "dependency"
 
 
 def rank_counts(counts: DataFrame, key: str = "token_id") -> DataFrame:
-    """Add rk (by falling n, then key) and before (occurrences of all tokens ranked higher)."""
+    """Add rk (by falling n, then key), before (occurrences of all tokens ranked higher) and total (of all)."""
     return ranked(counts, [F.desc("n"), F.asc(key)], total_of="n")
 
 
 def cut_by_corpus(counts: DataFrame, min_count: int | None = None, top_k: int | None = None, coverage: float | None = None, total: int | Column | None = None, key: str = "token_id") -> DataFrame:
-    """The strictest of the cuts: all are prefixes of one ranking. ``total`` is the stored total of occurrences; a coverage it can't
-    reach keeps everything."""
+    """The strictest of the cuts: all are prefixes of one ranking. ``total`` is the stored total of occurrences, by default
+    their sum, which the ranking gives; a coverage it can't reach keeps everything."""
     rows = rank_counts(counts, key)
     if min_count is not None:
         rows = rows.where(F.col("n") >= min_count)
     if top_k is not None:
         rows = rows.where(F.col("rk") <= top_k)
     if coverage is not None:
-        if total is None:
-            total = counts.agg(F.sum("n")).first()[0] or 0
-        target = F.lit(coverage) * (total if isinstance(total, Column) else F.lit(total))
+        whole = F.col("total") if total is None else total if isinstance(total, Column) else F.lit(total)
+        target = F.lit(coverage) * whole
         rows = rows.where((F.col("before") < target) | (F.col("rk") == 1))
     return rows
 
@@ -50,18 +51,24 @@ def merge_dependencies(merges: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def expand_dependencies(kept: DataFrame, deps: DataFrame, key: str = "token_id") -> DataFrame:
-    """The tokens that kept ones need and that aren't kept: frontier after frontier, each written once."""
+    """The tokens that kept ones need and that aren't kept. A round follows HOPS dependencies from its frontier and writes what
+    is new to a table of its own; the next begins at what the last hop found."""
     edges = deps.select(F.col("child").alias(key), "parent").distinct()
-    known = kept.select(key).distinct()
-    added = None
-    frontier = known
+    start = kept.select(key).distinct()
+    added = start.limit(0)
+    frontier = start
     while True:
-        parents = edges.join(frontier, key).select(F.col("parent").alias(key)).distinct()
-        frontier = cut(parents.join(known, key, "left_anti"), "frontier")
-        if not frontier.limit(1).count():
-            return added if added is not None else kept.select(key).limit(0)
-        added = frontier if added is None else added.unionByName(frontier)
-        known = known.unionByName(frontier)
+        found, step = None, frontier
+        for hop in range(HOPS):
+            step = edges.join(step, key).select(F.col("parent").alias(key)).distinct()
+            marked = step.withColumn("hop", F.lit(hop))
+            found = marked if found is None else found.unionByName(marked)
+        nearest = found.groupBy(key).agg(F.min("hop").alias("hop"))
+        new, n = cut_counted(nearest.join(start.unionByName(added), key, "left_anti"), "frontier")
+        if not n:
+            return added
+        added = added.unionByName(new.select(key))
+        frontier = new.where(F.col("hop") == HOPS - 1).select(key)
 
 
 def provenance(sources: list[DataFrame]) -> DataFrame:
@@ -99,15 +106,14 @@ def cap_order(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     state = nodes.where("NOT structural").select("token_id", "freq", key.alias("key"))
     # Nothing depends on a leaf: its block is its own key.
     leaves = state.join(edges.select(F.col("parent").alias("token_id")).distinct(), "token_id", "left_anti").select("token_id", F.col("key").alias("block"))
-    state = cut(state.join(leaves, "token_id", "left"), "blocks")
-    settled = state.where("block IS NOT NULL").count()
+    done = F.count("block")
+    state, settled = cut_counted(state.join(leaves, "token_id", "left"), "blocks", done)
     while True:
         # Others settle once all that depend on them have; a structural dependent never does.
         below = state.select(F.col("token_id").alias("child"), "block")
         above = edges.join(below, "child", "left").groupBy(F.col("parent").alias("token_id")).agg(F.max("block").alias("above"), F.max(F.col("block").isNull()).alias("open"))
         ready = F.when(~F.col("open"), F.greatest("key", "above"))
-        state = cut(state.join(above, "token_id", "left").select("token_id", "freq", "key", F.coalesce("block", ready).alias("block")), "blocks")
-        now = state.where("block IS NOT NULL").count()
+        state, now = cut_counted(state.join(above, "token_id", "left").select("token_id", "freq", "key", F.coalesce("block", ready).alias("block")), "blocks", done)
         if now == settled:
             return state.where("block IS NOT NULL").select("token_id", "freq", "block")
         settled = now
@@ -134,6 +140,11 @@ def _greedy(tokens: list[tuple[int, int]], edges: list[tuple[int, int]], need: i
     return out
 
 
+def removal_blocks(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """block, tokens and before (tokens of earlier blocks), in the order in which blocks go."""
+    return ranked(cap_order(nodes, deps).groupBy("block").agg(F.count("*").alias("tokens")), [F.asc("block")], total_of="tokens")
+
+
 def apply_cap(nodes: DataFrame, deps: DataFrame | None, cap: int) -> DataFrame:
     """token_id of the removed tokens. Whole blocks go below the cut; only the one it falls in, which holds the ancestors of one
     token at most, is ordered on the driver."""
@@ -181,6 +192,17 @@ class Selection:
         return {r["reason"]: r["n"] for r in counts_by_reason(self.kept).collect()}
 
 
+def look_up(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Requested tokens with their ids, null for those that the vocabulary hasn't."""
+    return asked.join(vocab.select("token", "token_id"), "token", "left")
+
+
+def matching(vocab: DataFrame, pattern: str) -> DataFrame:
+    """token_id and reason of the tokens whose surface (or, for want of one, whose own string) matches."""
+    seen = F.coalesce(F.when(F.col("surface") != "", F.col("surface")), F.col("token"))
+    return vocab.where(seen.rlike(f"(?U){pattern}")).select("token_id", F.lit(f"pattern:{pattern}").alias("reason"))
+
+
 def requested(document, tables: dict[str, DataFrame], config) -> tuple[DataFrame | None, list[str]]:
     """(token_id, reason) of everything asked for by name, and the tokens that aren't in the vocabulary, in order."""
     spark, vocab = tables["vocab"].sparkSession, tables["vocab"]
@@ -189,7 +211,7 @@ def requested(document, tables: dict[str, DataFrame], config) -> tuple[DataFrame
     unknown: list[str] = []
     literals = [(t, "explicit_token") for t in config.keep_tokens] + [(t, f"file:{p}") for p in config.keep_token_files for t in read_token_file(p)]
     if literals:
-        asked = spark.createDataFrame([(i, t, r) for i, (t, r) in enumerate(literals)], "ord int, token string, reason string").join(vocab.select("token", "token_id"), "token", "left")
+        asked = look_up(spark.createDataFrame([(i, t, r) for i, (t, r) in enumerate(literals)], "ord int, token string, reason string"), vocab)
         found.append(asked.where("token_id IS NOT NULL").select("token_id", "reason"))
         unknown = [r["token"] for r in asked.where("token_id IS NULL").orderBy("ord").collect()]
     if config.keep_token_ids:
@@ -204,8 +226,7 @@ def requested(document, tables: dict[str, DataFrame], config) -> tuple[DataFrame
     if spoken:
         coded = encode(spark.createDataFrame(spoken, "text string, reason string"), document.to_json(), ["reason"])
         found.append(coded.select(F.explode("ids").alias("token_id"), "reason").distinct())
-    seen = F.coalesce(F.when(F.col("surface") != "", F.col("surface")), F.col("token"))
-    found += [vocab.where(seen.rlike(f"(?U){p}")).select("token_id", F.lit(f"pattern:{p}").alias("reason")) for p in config.keep_patterns]
+    found += [matching(vocab, p) for p in config.keep_patterns]
     if not found:
         return None, unknown
     out = found[0]

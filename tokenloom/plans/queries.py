@@ -57,13 +57,32 @@ def word_rows(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*keys, F.explode(T.words(F.col("text"))).alias("token"))
 
 
-def lexicon(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """token, n, token_id of all words, or of those of one language's documents."""
-    docs = documents(spark, sf_dir)
-    counts = count_occurrences(word_rows(docs.where(F.col("lang") == lang) if lang else docs))
+def numbered(counts: DataFrame) -> DataFrame:
+    """token, n, token_id by falling count, then by the word."""
     return ranked(counts, [F.desc("n"), F.asc("token")]).select("token", "n", (F.col("rk") - 1).alias("token_id"))
 
 
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, n, token_id of all words; a written table, so that a query may read it several times."""
+    return cut(numbered(count_occurrences(word_rows(documents(spark, sf_dir)))), "lexicon")
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, n and n_en (in English documents) of all words, from one scan."""
+    rows = word_rows(documents(spark, sf_dir), "lang")
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"))
+
+
+def lexicons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lexicon of all documents and that of the English ones, from one scan."""
+    counts = cut(word_counts(spark, sf_dir), "word-counts")
+    return numbered(counts.select("token", "n")), numbered(counts.where("n_en > 0").select("token", F.col("n_en").alias("n")))
+
+
+def english(counts: DataFrame) -> DataFrame:
+    return counts.where("n_en > 0").select("token")
+
+
 def part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_occurrences(read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("token_id")), "token_id")
 
@@ -125,7 +144,7 @@ def ranked_ids(spark, sf_dir):
 
 @query(f"WITH {RANKED} SELECT token_id, n FROM ranked WHERE n >= 30")
 def cut_min_count(spark, sf_dir):
-    return part_counts(spark, sf_dir).where("n >= 30")
+    return S.cut_by_corpus(part_counts(spark, sf_dir), min_count=30).select("token_id", "n")
 
 
 @query(f"WITH {RANKED} SELECT token_id, n, rk FROM ranked WHERE rk <= 500")
@@ -145,7 +164,7 @@ def cut_strictest(spark, sf_dir):
 
 @query(f"WITH {RANKED} SELECT sum(CASE WHEN rk <= 500 THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS coverage FROM ranked")
 def coverage_of_kept(spark, sf_dir):
-    counts = part_counts(spark, sf_dir)
+    counts = cut(part_counts(spark, sf_dir), "counts")
     return coverage_of(counts, S.cut_by_corpus(counts, top_k=500))
 
 
@@ -167,8 +186,7 @@ _SQL_RULES = {
 )
 def surface_presets(spark, sf_dir):
     """Size and survivors of each rule on surfaces; rules that match nothing are left out."""
-    kept = lexicon(spark, sf_dir, "en").select("token", F.lit(True).alias("_in"))
-    rows = lexicon(spark, sf_dir).join(kept, "token", "left")
+    rows = word_counts(spark, sf_dir).withColumn("_in", F.when(F.col("n_en") > 0, True))
     flags = F.array(*[F.when(rule(F.col("token")), F.lit(name)) for name, rule in SURFACE_RULES.items()])
     found = rows.select("_in", F.explode(F.array_compact(flags)).alias("preset"))
     return found.groupBy("preset").agg(F.count("*").alias("base_tokens"), F.count("_in").alias("kept"))
@@ -186,22 +204,29 @@ best AS (SELECT token, kind FROM tallies QUALIFY row_number() OVER (PARTITION BY
 @query(f"WITH {OTHER}, {_KINDS} SELECT kind, count(*) AS base_tokens, count(o.token) AS kept FROM best LEFT JOIN other o USING (token) GROUP BY kind")
 def category_groups(spark, sf_dir):
     """Tokens by the kind of most of their characters, and how many the English lexicon keeps."""
-    base = lexicon(spark, sf_dir)
-    kinds = T.classified(base.withColumn("surface", F.col("token")))
-    return C.group_diff(kinds.select("token", "kind"), lexicon(spark, sf_dir, "en"), "kind")
+    counts = cut(word_counts(spark, sf_dir), "word-counts")
+    kinds = T.classified(counts.select("token", F.col("token").alias("surface")))
+    return C.group_diff(kinds.select("token", "kind"), english(counts), "kind")
 
 
-@query()
+#: Of the letters that the documents hold, those with names that begin with LATIN; others would show as a difference.
+_LATIN = r"[a-z\x{aa}\x{ba}\x{df}-\x{f6}\x{f8}-\x{24f}\x{1e00}-\x{1eff}]"
+_SCRIPTS = rf"""
+scripts AS (SELECT token, CASE WHEN NOT regexp_matches(token, '\p{{L}}') THEN 'non-letter' WHEN NOT regexp_matches(regexp_replace(token, '{_LATIN}', '', 'g'), '\p{{L}}') THEN 'LATIN' ELSE 'mixed' END AS script FROM lex)"""
+
+
+@query(f"WITH {OTHER}, {_SCRIPTS} SELECT script, count(*) AS base_tokens, count(o.token) AS kept FROM scripts LEFT JOIN other o USING (token) GROUP BY script")
 def script_groups(spark, sf_dir):
     """Tokens by the script of their letters, and how many the English lexicon keeps."""
-    base = lexicon(spark, sf_dir)
-    kinds = T.classified(base.withColumn("surface", F.col("token")))
-    return C.group_diff(kinds.select("token", "script"), lexicon(spark, sf_dir, "en"), "script")
+    counts = cut(word_counts(spark, sf_dir), "word-counts")
+    kinds = T.classified(counts.select("token", F.col("token").alias("surface")))
+    return C.group_diff(kinds.select("token", "script"), english(counts), "script")
 
 
 @query(f"WITH {LEX} SELECT token_id, token FROM lex WHERE regexp_matches(token, '^[0-9]+$|ing$|^th')")
 def pattern_keep(spark, sf_dir):
-    return lexicon(spark, sf_dir).where(F.col("token").rlike("(?U)^[0-9]+$|ing$|^th")).select("token_id", "token")
+    vocab = lexicon(spark, sf_dir).withColumn("surface", F.col("token"))
+    return S.matching(vocab, "^[0-9]+$|ing$|^th").join(vocab, "token_id").select("token_id", "token")
 
 
 TEMPLATE = "{% for message in messages %}{% if message['role'] == 'user' %}<|im_start|>{{ message['role'] }}\n{% elif message[\"role\"] == \"system\" %}[system]{% endif %}{{ message.content }}<|im_end|>\n{# done #}{% endfor %}"
@@ -232,7 +257,8 @@ SELECT a.token, coalesce(l.token_id, -1) AS token_id, l.token_id IS NOT NULL AS
 def requested_lookup(spark, sf_dir):
     """Requested tokens with their ids; the unknown ones with -1."""
     asked = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("token")).distinct()
-    return asked.join(lexicon(spark, sf_dir).select("token", "token_id"), "token", "left").select("token", F.coalesce("token_id", F.lit(-1)).alias("token_id"), F.col("token_id").isNotNull().alias("known"))
+    found = S.look_up(asked, lexicon(spark, sf_dir))
+    return found.select("token", F.coalesce("token_id", F.lit(-1)).alias("token_id"), F.col("token_id").isNotNull().alias("known"))
 
 
 LEAST = 20  # words that occur less often have no merges of their own
@@ -248,22 +274,23 @@ firsts AS (SELECT child, pl, pr FROM valid QUALIFY row_number() OVER (PARTITION
 deps AS (SELECT child, pl AS parent, 0 AS slot FROM firsts UNION ALL SELECT child, pr, 1 FROM firsts)"""
 
 
-def merge_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chosen words, their vocabulary of parts, and the rules: each longer prefix from the shorter and one more letter, and each
+def merge_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The lexicon, chosen words, their vocabulary of parts, and the rules: each longer prefix from the shorter and one more letter, and each
     word also from its first letter and the rest."""
-    chosen = cut(lexicon(spark, sf_dir).where((F.col("n") >= LEAST) & (F.length("token") > 1)).select("token", "n", F.col("token_id").alias("ord")), "chosen")
+    base = lexicon(spark, sf_dir)
+    chosen = base.where((F.col("n") >= LEAST) & (F.length("token") > 1)).select("token", "n", F.col("token_id").alias("ord"))
     prefix = chosen.select("ord", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("k")).select(
         (F.col("ord") * 1000 + F.col("k") * 2).alias("rank"), F.expr("substring(token, 1, k)").alias("left"), F.expr("substring(token, k + 1, 1)").alias("right"))
     suffix = chosen.where(F.length("token") > 2).select((F.col("ord") * 1000 + 3).alias("rank"), F.substring("token", 1, 1).alias("left"), F.expr("substring(token, 2)").alias("right"))
     tokens = prefix.select(F.col("left").alias("token")).union(prefix.select("right")).union(chosen.select("token")).distinct()
     vocab = ranked(tokens, [F.asc("token")]).select("token", (F.col("rk") - 1).alias("token_id"))
-    return chosen, vocab, prefix.unionByName(suffix)
+    return base, chosen, cut(vocab, "merge-vocab"), prefix.unionByName(suffix)
 
 
 @query(f"WITH {MERGES} SELECT child, parent, slot FROM deps")
 def merge_dependencies(spark, sf_dir):
     """Each merged token's parts by its first valid rule."""
-    _, vocab, rules = merge_tables(spark, sf_dir)
+    _, _, vocab, rules = merge_tables(spark, sf_dir)
     return S.merge_dependencies(rules, vocab)
 
 
@@ -274,7 +301,7 @@ _CLOSED = "closed(token_id) AS (SELECT token_id FROM seeds UNION SELECT d.parent
 @query(f"WITH RECURSIVE {MERGES}, {_SEED}, {_CLOSED} SELECT token_id FROM closed WHERE token_id NOT IN (SELECT token_id FROM seeds)")
 def dependency_closure(spark, sf_dir):
     """What the kept words need beyond themselves, down to letters."""
-    chosen, vocab, rules = merge_tables(spark, sf_dir)
+    _, chosen, vocab, rules = merge_tables(spark, sf_dir)
     kept = vocab.join(chosen.where(F.col("token").rlike("ing$|ent?$")), "token", "left_semi").select("token_id")
     return S.expand_dependencies(kept, cut(S.merge_dependencies(rules, vocab), "deps"))
 
@@ -291,8 +318,8 @@ _PROVENANCE = f"{MERGES}, {_SOURCES}, {_CLOSED}, every AS (SELECT * FROM sources
 
 def selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """token_id and reasons, closed; frequencies; dependencies."""
-    _, vocab, rules = merge_tables(spark, sf_dir)
-    freq = cut(vocab.join(lexicon(spark, sf_dir).select("token", "n"), "token", "left").select("token_id", F.coalesce("n", F.lit(0)).alias("n"), "token"), "freq")
+    base, _, vocab, rules = merge_tables(spark, sf_dir)
+    freq = cut(vocab.join(base.select("token", "n"), "token", "left").select("token_id", F.coalesce("n", F.lit(0)).alias("n"), "token"), "freq")
     kept = cut(
         S.provenance([
             freq.where(F.length("token") == 1).select("token_id", F.lit("structural").alias("reason")),
@@ -317,13 +344,25 @@ def kept_by_reason(spark, sf_dir):
     return S.counts_by_reason(selected(spark, sf_dir)[0])
 
 
-@query()
+_CAP = f"""{_PROVENANCE}, nodes AS (SELECT k.token_id, f.n AS freq, length(f.token) = 1 AS structural FROM kept k JOIN freq f USING (token_id)),
+edges AS (SELECT DISTINCT child, parent FROM deps WHERE child <> parent AND child IN (SELECT token_id FROM nodes) AND parent IN (SELECT token_id FROM nodes)),
+below(token_id, dep) AS (SELECT token_id, token_id FROM nodes UNION SELECT e.parent, b.dep FROM below b JOIN edges e ON e.child = b.token_id),
+keyed AS (SELECT b.token_id, bool_or(d.structural) AS fixed, max(struct_pack(f := d.freq, i := -d.token_id)) AS block FROM below b JOIN nodes d ON d.token_id = b.dep GROUP BY b.token_id),
+sizes AS (SELECT block, sum(count(*)) OVER (ORDER BY block) AS upto FROM keyed WHERE NOT fixed GROUP BY block),
+bound AS (SELECT max(upto) AS need FROM sizes WHERE upto <= (SELECT count(*) FROM nodes) // 4)"""
+
+
+@query(f"WITH RECURSIVE {_CAP} SELECT k.token_id FROM keyed k JOIN sizes s USING (block), bound WHERE NOT k.fixed AND s.upto <= need")
 def cap_dag(spark, sf_dir):
-    """The tokens that a cap of three quarters removes, least frequent first and none before what is built from it."""
+    """The tokens that a cap of about three quarters removes, least frequent first and none before what is built from it. The cap is
+    set where a block of removals ends, at most a quarter down, so that SQL, which knows blocks alone, can tell the same."""
     kept, freq, deps = selected(spark, sf_dir)
     nodes = kept.join(freq, "token_id").select("token_id", F.col("n").alias("freq"), F.array_contains("reasons", "structural").alias("structural"))
     nodes = cut(nodes, "nodes")
-    return S.apply_cap(nodes, deps, nodes.count() * 3 // 4)
+    size = nodes.count()
+    upto = F.col("before") + F.col("tokens")
+    need = S.removal_blocks(nodes, deps).where(upto <= size // 4).agg(F.max(upto)).first()[0] or 0
+    return S.apply_cap(nodes, deps, size - need)
 
 
 _FLAT = f"{LEX}, flat AS (SELECT token_id, n, length(token) = 1 AS structural, regexp_matches(token, '^th') AS asked FROM lex), loose AS (SELECT *, row_number() OVER (ORDER BY n DESC, token_id) AS rk FROM flat WHERE NOT structural), room AS (SELECT 5000 - count(*) AS r FROM flat WHERE structural)"
@@ -364,7 +403,7 @@ SELECT c.conv_id, c.turn, CASE WHEN w.n IS NULL THEN '' WHEN w.n = w.known THEN
 def map_sequences(spark, sf_dir):
     """Turns as sequences of new ids, null where any token is gone."""
     base = lexicon(spark, sf_dir)
-    kept = R.dense_remap(base.where("n >= 5"))
+    kept = cut(R.dense_remap(base.where("n >= 5")), "remap")
     turns = read(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
     each = turns.select("key", F.posexplode(T.words(F.col("text"))).alias("pos", "token")).join(base.select("token", "token_id"), "token", "left")
     # A word that the lexicon hasn't stands for an id that is gone.
@@ -413,7 +452,7 @@ SELECT base_size, other_size, shared, removed, introduced, introduced = 0 AS is_
 """)
 def vocab_diff(spark, sf_dir):
     """All documents' lexicon against that of English ones, as sets and id spaces."""
-    return C.vocabulary_diff(lexicon(spark, sf_dir), lexicon(spark, sf_dir, "en"))
+    return C.vocabulary_diff(*lexicons(spark, sf_dir))
 
 
 @query(f"""
@@ -421,13 +460,13 @@ WITH {OTHER}, span AS (SELECT greatest(max(token_id) + 1, 1) AS s FROM lex), gon
 SELECT d.decile, count(g.decile) AS removed FROM (SELECT unnest(range(10)) AS decile) d LEFT JOIN gone g ON g.decile = d.decile GROUP BY d.decile
 """)
 def removed_deciles(spark, sf_dir):
-    return C.removed_deciles(lexicon(spark, sf_dir), lexicon(spark, sf_dir, "en"))
+    return C.removed_deciles(*lexicons(spark, sf_dir))
 
 
 @query(f"WITH {OTHER} SELECT token, token_id FROM lex WHERE token NOT IN (SELECT token FROM other) ORDER BY token_id LIMIT 10")
 def removed_examples(spark, sf_dir):
     """The ten lowest ids that are gone."""
-    return C.removed_examples(lexicon(spark, sf_dir), lexicon(spark, sf_dir, "en")).select("token", "token_id")
+    return C.removed_examples(*lexicons(spark, sf_dir)).select("token", "token_id")
 
 
 @query(f"""
@@ -493,9 +532,10 @@ pairs AS (SELECT item_id, first(text) AS text, list(b ORDER BY pos) AS b, list(o
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
     each = items.select("item_id", "text", F.posexplode(T.words(F.col("text"))).alias("pos", "token"))
-    for lang, name in ((None, "b"), ("en", "o")):
-        known = lexicon(spark, sf_dir, lang).select("token", F.lit(True).alias(name))
-        each = each.join(known, "token", "left").withColumn(name, F.when(F.col(name), F.col("token")).otherwise("[UNK]"))
+    known = word_counts(spark, sf_dir).select("token", F.lit(True).alias("in_b"), (F.col("n_en") > 0).alias("in_o"))
+    each = each.join(known, "token", "left")
+    for name in ("b", "o"):
+        each = each.withColumn(name, F.when(F.col(f"in_{name}"), F.col("token")).otherwise("[UNK]"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     return each.groupBy("item_id").agg(F.first("text").alias("text"), in_order("b").alias("base_tokens"), in_order("o").alias("other_tokens"))
 
@@ -520,8 +560,9 @@ SELECT count(*) AS checked, count(*) FILTER (n = kept) AS identical, count(*) FI
 """)
 def verify_texts(spark, sf_dir):
     """The benchmark's texts encoded by all documents' lexicon and, after a trim to the English one, again."""
-    base, english = lexicon(spark, sf_dir), lexicon(spark, sf_dir, "en")
-    remap = cut(R.dense_remap(base.join(english.select("token"), "token", "left_semi")), "remap")
+    counts = cut(word_counts(spark, sf_dir), "word-counts")
+    base = cut(numbered(counts.select("token", "n")), "lexicon")
+    remap = cut(R.dense_remap(base.join(english(counts), "token", "left_semi")), "remap")
     named = base.select("token", "token_id").join(remap.withColumnRenamed("old_id", "token_id"), "token_id", "left")
     each = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.words(F.col("text"))).alias("pos", "token")).join(named, "token", "left")
     values = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(-1)).alias("old"), F.coalesce("new_id", F.lit(-1)).alias("new"), F.col("token").alias("word"), F.coalesce(F.when(F.col("new_id").isNotNull(), F.col("token")), F.lit("[UNK]")).alias("back"))))
@@ -532,7 +573,10 @@ def verify_texts(spark, sf_dir):
     return V.tally(V.verdicts(pairs.join(mapped, "item_id")))
 
 
-@query()
+@query("""
+WITH docs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY text) AS nth FROM documents WHERE text <> ''), placed AS (SELECT *, md5('7:' || doc_id || ':' || nth) AS place FROM docs)
+SELECT doc_id, text FROM placed ORDER BY place LIMIT 256
+""")
 def sample_bottom_k(spark, sf_dir):
     """A seeded uniform sample of documents for verification: those of the 256 least hashes."""
     return sample(documents(spark, sf_dir), 256, 7, "doc_id").select("doc_id", "text")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.plans.config import Dataset
+from tokenloom.sources.scratch import cut
 
 #: A dataset's loader by file ending, for folders of data files.
 ENDINGS = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet", ".txt": "text", ".arrow": "arrow", ".orc": "orc"}
@@ -27,29 +30,137 @@ LOADERS: dict[str, Callable] = {
 }
 
 
-def _arrow(spark: SparkSession, folder: Path, split: str) -> DataFrame:
-    """A dataset that was saved as Arrow files: one folder, or one folder a split."""
+def _filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, so that any scheme Spark reads can be listed, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = _filesystem(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
+def _listed(spark: SparkSession, folder: str, recursive: bool = True) -> list[str]:
+    """The files in a folder, sorted; hidden ones and those of ``_``-folders aren't data."""
+    fs, at = _filesystem(spark, folder)
+    base = fs.getFileStatus(at).getPath().toString().rstrip("/")
+    found, files = [], fs.listFiles(at, recursive)
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if not any(part.startswith((".", "_")) for part in path[len(base) + 1 :].split("/")):
+            found.append(path)
+    return sorted(found)
+
+
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    fs, at = _filesystem(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+
+
+def _arrow_tables(raw: bytes):
+    """Record batches of an Arrow file of either kind, one by one."""
     import pyarrow as pa
 
-    names = sorted(p.name for p in folder.iterdir() if p.is_dir())
-    if (folder / "dataset_dict.json").exists() or names and not list(folder.glob("*.arrow")):
+    try:
+        yield from pa.ipc.open_stream(pa.py_buffer(raw))
+    except pa.ArrowInvalid:
+        reader = pa.ipc.open_file(pa.py_buffer(raw))
+        for i in range(reader.num_record_batches):
+            yield reader.get_batch(i)
+
+
+def _arrow_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Arrow files, each read by the task that gets it; the first one's head gives the schema."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    if not files:
+        raise FileNotFoundError("no Arrow files")
+    loaded = spark.read.format("binaryFile").load(files)
+    head = loaded.where(F.col("path") == F.lit(loaded.select(F.min("path")).first()[0])).select("content")
+
+    def schema_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                try:
+                    own = pa.ipc.open_stream(pa.py_buffer(raw)).schema
+                except pa.ArrowInvalid:
+                    own = pa.ipc.open_file(pa.py_buffer(raw)).schema
+                yield pa.RecordBatch.from_arrays([pa.array([own.remove_metadata().serialize().to_pybytes()], pa.binary())], names=["schema"])
+
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(head.mapInArrow(schema_of, "schema binary").first()[0])))
+    names = schema.names
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                for part in _arrow_tables(raw):
+                    yield pa.RecordBatch.from_arrays([part.column(n) for n in names], names=names)
+
+    return loaded.select("content").mapInArrow(rows, from_arrow_schema(schema))
+
+
+def _arrow(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """A dataset that was saved as Arrow files: one folder, or one folder a split."""
+    names = _folders(spark, folder)
+    files = [f for f in _listed(spark, folder, recursive=False)]
+    if any(f.endswith("dataset_dict.json") for f in files) or names and not any(f.endswith(".arrow") for f in files):
         if split not in names:
-            raise KeyError(f"{str(folder)!r} holds splits {names}, so there is no {split!r} to read")
-        folder = folder / split
-    tables = []
-    for p in sorted(folder.glob("*.arrow")):
-        with pa.memory_map(str(p)) as source:
-            try:
-                tables.append(pa.ipc.open_stream(source).read_all())
-            except pa.ArrowInvalid:
-                tables.append(pa.ipc.open_file(source).read_all())
-    return spark.createDataFrame(pa.concat_tables(tables))
+            raise KeyError(f"{folder!r} holds splits {names}, so there is no {split!r} to read")
+        files = _listed(spark, f"{folder.rstrip('/')}/{split}", recursive=False)
+    return _arrow_files(spark, [f for f in files if f.endswith(".arrow")])
+
+
+SLICE = re.compile(r"^([^\[\]]+)(?:\[(-?\d+%?)?:(-?\d+%?)?\])?$")
+
+
+def parse_split(split: str) -> list[tuple[str, str | None, str | None]]:
+    """Names and bounds of a split expression such as ``train[:1%]`` or ``train[10:20]+test``."""
+    out = []
+    for part in split.split("+"):
+        match = SLICE.match(part.strip())
+        if match is None:
+            raise ValueError(f"{split!r} is no split")
+        out.append(match.groups())
+    return out
+
+
+def take_slice(rows: DataFrame, start: str | None, stop: str | None) -> DataFrame:
+    """Rows from ``start`` to before ``stop``, in the order of files and places in them; percentages are rounded to whole rows,
+    negative bounds count from the end. Only a count a partition is gathered."""
+    if start is None and stop is None:
+        return rows
+    numbered = cut(rows.withColumn("_at", F.monotonically_increasing_id()), "sliced")
+    part = F.shiftright("_at", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.select("_part", before.alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_total"))
+    total = F.col("_total")
+
+    def bound(text: str | None, default):
+        if text is None:
+            return default
+        value = F.round(total * int(text[:-1]) / 100) if text.endswith("%") else F.lit(int(text))
+        return F.when(value < 0, total + value).otherwise(value)
+
+    row = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = numbered.withColumn("_part", part).join(F.broadcast(sums), "_part")
+    return placed.where((row >= bound(start, F.lit(0))) & (row < bound(stop, total))).select(*[numbered[c] for c in rows.columns])
 
 
 def open_dataset(spark: SparkSession, spec: Dataset) -> DataFrame:
-    """All rows of a dataset, named by a loader with files, or by a folder."""
+    """The rows of a dataset's split, named by a loader with files, or by a folder on any file system that Spark reads."""
+    out = None
+    for name, start, stop in parse_split(spec.split):
+        rows = take_slice(_open_split(spark, spec.model_copy(update={"split": name})), start, stop)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _open_split(spark: SparkSession, spec: Dataset) -> DataFrame:
     if spec.load_from_disk:
-        return _arrow(spark, Path(spec.path), spec.split)
+        return _arrow(spark, spec.path, spec.split)
     files = spec.data_files
     if isinstance(files, dict):
         if spec.split not in files:
@@ -63,16 +174,21 @@ def open_dataset(spark: SparkSession, spec: Dataset) -> DataFrame:
         if not chosen:
             raise ValueError(f"loader {spec.path!r} needs data_dir or data_files")
         return LOADERS[spec.path](spark.read, chosen)
-    folder = Path(spec.path)
-    if not folder.is_dir():
+    if not _is_folder(spark, spec.path):
         raise FileNotFoundError(f"{spec.path!r} is neither a loader ({', '.join(sorted(LOADERS))}) nor a folder")
-    found = sorted(p for p in folder.rglob("*") if p.is_file() and p.suffix in ENDINGS)
+    found: dict[str, list[str]] = {}
+    for path in _listed(spark, spec.path):
+        if kind := ENDINGS.get(Path(path).suffix):
+            found.setdefault(kind, []).append(path)
     if not found:
         raise FileNotFoundError(f"no data files in {spec.path!r}")
-    kind = ENDINGS[found[0].suffix]
-    if kind == "arrow":
-        return _arrow(spark, folder, spec.split)
-    return LOADERS[kind](spark.read, [str(p) for p in found if ENDINGS[p.suffix] == kind])
+    if set(found) == {"arrow"}:
+        return _arrow(spark, spec.path, spec.split)
+    out = None
+    for kind, paths in sorted(found.items()):  # a folder of several kinds is all of them, by column names
+        rows = _arrow_files(spark, paths) if kind == "arrow" else LOADERS[kind](spark.read, paths)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def texts(rows: DataFrame, column: str = "text", limit: int | None = None, order: list | None = None, source: str = "the dataset") -> DataFrame:
@@ -86,10 +202,13 @@ def texts(rows: DataFrame, column: str = "text", limit: int | None = None, order
 
 
 def sample(docs: DataFrame, size: int, seed: int = 0, key: str = "text") -> DataFrame:
-    """At most ``size`` rows, uniform and the same for a seed: those of the least hashes. Duplicates are told apart by their
-    number among equal keys' partitions, so equal texts count as often as they stand."""
-    salted = docs.withColumn("_order", F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id() if key == "text" else F.lit(0)))
-    return salted.orderBy("_order").limit(size).drop("_order")
+    """At most ``size`` rows, uniform and the same for a seed however the rows are partitioned: those of the least hashes of the key
+    and its number among equal keys, so that equal texts count as often as they stand. (Of one key no more than ``size`` rows
+    can be wanted, which bounds what is numbered.)"""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.lit(0)))
+    numbered = docs.withColumn("_nth", nth).where(F.col("_nth") <= size)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("_nth").cast("string")))
+    return numbered.withColumn("_order", order).orderBy("_order", "_nth").limit(size).drop("_order", "_nth")
 
 
 def read_token_file(path: str | Path) -> list[str]:

@@ -7,12 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="tokenloom-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -27,3 +30,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, name: str = "cut", what: Column | None = None) -> tuple[DataFrame, int]:
+    """The same, and the number of rows (or another aggregate) as the write itself saw it."""
+    seen = Observation()
+    table = cut(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), name)
+    return table, seen.get["n"]
