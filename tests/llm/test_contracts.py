@@ -237,6 +237,27 @@ def test_fit_learns_held_out_lines(spark):
     assert quality.fit_on(docs, labels.limit(0)) == quality.DEFAULT
 
 
+def test_catch_alls_give_way_to_named_licenses(spark):
+    texts = ["Licensed under the GPL-3.0-only license. GNU General Public License v3", "licensed under the creative commons attribution noncommercial 4.0 license", "licensed under the frobnitz", "nothing here"]
+    labels = [set(f["labels"].split(",")) for f in sorted(plain(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), key=lambda f: f["doc_id"])]
+    assert "unknown-license" not in labels[0] | labels[1] and labels[2] == {"unknown-license"} and labels[3] == {""}
+
+
+def test_license_base_columns_by_brute_force(spark, awkward):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    r = random.Random(18)
+    vocabulary = ["mit", "license", "apache", "general", "public", "License,", "MIT", "x1", "é", "-", "\n", "licenses"]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(40))) for i in range(60)] + [(1000 + i, t["text"]) for i, t in enumerate(awkward.select("text").collect())]
+    texts = dict(rows)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for f in plain(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))):
+        words = word.findall((texts[f["doc_id"]] or "").translate(low))
+        places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        assert (f["n_words"], f["n_base"]) == (len(words), len(places))
+        assert (f["first_word"], f["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert f["base_labels"] == ",".join(sorted({label for _, label in places}))
+
+
 def test_layout_is_no_evidence_and_junk_goes(spark):
     """Clean prose stays however its lines are broken; rows of cells go; string ids and repeated labels are no hindrance."""
     r = random.Random(17)

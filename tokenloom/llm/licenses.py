@@ -2,7 +2,8 @@
 
 Some 250 hand-written expressions (license_rules) are gated by keywords: one pass of an Aho-Corasick automaton finds
 which keywords a text has, and only the rules behind them are searched. Detections are taken in order of
-priority, then length, then place, then rule; one that lies within an accepted detection is suppressed. Three base
+priority, then length, then place, then rule; one that lies within an accepted detection is suppressed, and so is one of a
+catch-all rule that overlaps a named license. Three base
 phrases are found besides by words and never suppressed. Labels are those of both; the score is the highest
 confidence of an accepted detection (0.5 for a base phrase).
 
@@ -13,7 +14,9 @@ byte offsets. Equal rows get equal results, an empty table an empty result, othe
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from tokenloom.llm.license_rules import TEXT
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_SCORE = 0.5
+#: The label of rules that see that there is a license but not which.
+CATCH_ALL = "unknown-license"
 _WORD = rb"[0-9a-z\x80-\xff]"
 _GAP = rb"[^0-9a-z\x80-\xff]+"
 _BASE = [(label, phrase.split()[-1].encode(), re.compile(rb"(?<!" + _WORD + rb")" + _GAP.join(w.encode() for w in phrase.split()) + rb"(?!" + _WORD + rb")")) for phrase, label in BASE.items()]
@@ -70,6 +75,20 @@ def suppress(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return sorted(out)
 
 
+def without_catch_alls(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Detections in order of start without those of catch-all rules that overlap one of a named license."""
+    known = rules()[2]
+    named = [d for d in found if known[d[3]][0] != CATCH_ALL]
+    starts = [d[0] for d in named]
+    reach = list(accumulate((d[1] for d in named), max))
+    out = []
+    for d in found:
+        before = bisect_left(starts, d[1])  # named ones that begin before this ends
+        if known[d[3]][0] != CATCH_ALL or not before or reach[before - 1] <= d[0]:
+            out.append(d)
+    return out
+
+
 def detect(low: bytes) -> list[tuple[int, int, int, int]]:
     """Accepted detections (start, end, priority, rule) in a lower-cased text."""
     automaton, behind, known = rules()
@@ -77,7 +96,7 @@ def detect(low: bytes) -> list[tuple[int, int, int, int]]:
     for r in {r for k in {k for _, k in automaton.iter(low.decode("latin-1"))} for r in behind[k]}:
         _, priority, _, expression = known[r]
         found += [(m.start(), m.end(), priority, r) for m in expression.finditer(low) if m.end() > m.start()]
-    return suppress(found) if found else []
+    return without_catch_alls(suppress(found)) if found else []
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long, detections array<struct<label:string,start:long,end:long,priority:int>>"
