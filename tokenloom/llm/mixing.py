@@ -101,8 +101,8 @@ def solve(cells: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
         )
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= TOLERANCE:
-            break
-    return state.select("sid", "multiplier")
+            return state.select("sid", "multiplier")
+    raise ArithmeticError(f"rates are still {worst:.3g} of a target off after {ITERATIONS} iterations")
 
 
 def carry_round(cells: pd.DataFrame, most: int = MOST) -> pd.DataFrame:
