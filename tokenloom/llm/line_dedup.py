@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import NOT_SPACE, column_bytes, cut, map_slices, mix, span_hashes, text_or_empty, word_bounds
+from tokenloom.llm.common import NOT_SPACE, column_bytes, cut, map_slices, mix, span_hashes, split_join, text_or_empty, word_bounds
 from tokenloom.llm.quality import lines_of
 
 DIVISOR = 3
 LEAST_LINES, MOST_LINES = 2, 16
 #: Repeated successive lines of more words than that are a passage.
 PASSAGE_WORDS = 50
-#: A text that makes up more than one in so many repeated spans is looked up by broadcast; there are fewer than so many.
-HOT_SHARE = 1000
 
 
 class Chunks:
@@ -153,17 +151,15 @@ def repeated_spans(docs: DataFrame, passages: bool) -> DataFrame:
 
     slim = cut(map_slices(rows, hash_batch, T.StructType([*key, T.StructField("hashes", T.ArrayType(T.LongType()))])), "spans")
     each = slim.select("doc_id", "row_hash", F.posexplode("hashes").alias("span", "hash"))
-    often = each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    wanted = each.join(often, "hash").groupBy("doc_id", "row_hash").agg(F.collect_list("span").alias("wanted"))
+    often = cut(each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    wanted = split_join(each, often, ["hash"], "times").groupBy("doc_id", "row_hash").agg(F.collect_list("span").alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "wanted")
     picked = rows.join(wanted, F.expr("row_hash = _hash AND doc_id <=> _id")).select("doc_id", "row_hash", "wanted", "text")
     schema = T.StructType([*key, T.StructField("span", T.IntegerType()), T.StructField("digest", T.BinaryType())])
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "span")
     seen = cut(map_slices(picked, digest_batch, schema), "digests")
     groups = cut(seen.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "repeats")
-    total = groups.agg(F.sum("times")).first()[0] or 0
-    hot, cold = groups.where(F.col("times") * HOT_SHARE > total), groups.where(F.col("times") * HOT_SHARE <= total)
-    found = seen.join(F.broadcast(hot), "digest").unionByName(seen.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest"))
+    found = split_join(seen, groups, ["digest"], "times")
     return found.where(place != F.col("first")).groupBy("doc_id", "row_hash").agg(F.collect_set("span").alias("removed"))
 
 
