@@ -301,6 +301,9 @@ def words(path: str) -> Words:
 
 
 def _filesystem(path: str):
+    """Arrow's file system of a path; it names S3 by one scheme, Spark by three."""
+    for scheme in ("s3a://", "s3n://"):
+        path = path.replace(scheme, "s3://", 1) if path.startswith(scheme) else path
     return pa.fs.FileSystem.from_uri(path)
 
 
