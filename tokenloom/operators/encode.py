@@ -50,6 +50,40 @@ def wordpiece_of(distinct: DataFrame, vocab: DataFrame, unk: int, prefix: str =
     return distinct.join(folded, "token", "left").select("token", F.coalesce("ids", F.array(F.lit(unk))).alias("ids"))
 
 
+UNKNOWN_PENALTY = 10.0
+
+
+def unigram_of(distinct: DataFrame, pieces: DataFrame, unk: int, most: int = 100) -> DataFrame:
+    """token and its ids (array) for distinct words: the segmentation of the greatest sum of scores, the longer last piece where
+    sums are equal. ``pieces``: token, token_id, score.
+
+    Spans are looked up as whole strings; the best way to reach each place is then folded from left to right and walked back. A
+    character without a piece of its own may be unknown, at UNKNOWN_PENALTY below the least score; successive unknowns are one. Words of more
+    than ``most`` characters are unknown.
+    """
+    size = F.length("token")
+    longest, least = pieces.agg(F.max(F.length("token")), F.min("score")).first()
+    short = distinct.where(size <= most)
+    spans = short.select("token", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    spans = spans.select("token", "at", F.explode(F.sequence(F.lit(1), F.least(size - F.col("at") + 1, F.lit(max(1, longest or 1))))).alias("len"))
+    spans = spans.withColumn("piece", F.expr("substring(token, at, len)"))
+    known = pieces.select(F.col("token").alias("piece"), F.col("token_id").cast("int").alias("id"), F.col("score").cast("double").alias("score"))
+    hits = spans.join(known, "piece", "left").where("score IS NOT NULL OR len = 1")
+    hits = hits.select("token", (F.col("at") + F.col("len") - 1).alias("end"), F.struct("len", F.coalesce("score", F.lit((least or 0.0) - UNKNOWN_PENALTY)).alias("score"), F.coalesce("id", F.lit(unk)).alias("id")).alias("last"))
+    ends = hits.groupBy("token", "end").agg(F.collect_list("last").alias("lasts")).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("end", "lasts"))).alias("places"))
+    reach = """
+        aggregate(sequence(1, length(token)), array(named_struct('score', 0.0D, 'len', 0, 'id', -1)),
+            (s, i) -> concat(s, array(array_max(transform(places[i], c -> named_struct('score', s[i - c.len].score + c.score, 'len', c.len, 'id', c.id))))))
+    """
+    back = f"""
+        aggregate(sequence(1, length(token)), named_struct('at', length(token), 'ids', cast(array() as array<int>)),
+            (s, i) -> if(s.at = 0, s, named_struct('at', s.at - best[s.at].len, 'ids', if(best[s.at].id = {unk} and size(s.ids) > 0 and s.ids[0] = {unk}, s.ids, concat(array(best[s.at].id), s.ids)))),
+            s -> s.ids)
+    """
+    folded = ends.where("token <> ''").withColumn("best", F.expr(reach)).select("token", F.expr(back).alias("ids"))
+    return distinct.join(folded, "token", "left").select("token", F.coalesce("ids", F.when(size == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(unk)))).alias("ids"))
+
+
 @cache
 def _model(document: str):
     from tokenizers import Tokenizer

@@ -210,7 +210,7 @@ def category_groups(spark, sf_dir):
 
 
 #: Of the letters that the documents hold, those with names that begin with LATIN; others would show as a difference.
-_LATIN = r"[a-z\x{aa}\x{ba}\x{df}-\x{f6}\x{f8}-\x{24f}\x{1e00}-\x{1eff}]"
+_LATIN = r"[a-z\x{df}-\x{f6}\x{f8}-\x{24f}\x{1e00}-\x{1eff}]"
 _SCRIPTS = rf"""
 scripts AS (SELECT token, CASE WHEN NOT regexp_matches(token, '\p{{L}}') THEN 'non-letter' WHEN NOT regexp_matches(regexp_replace(token, '{_LATIN}', '', 'g'), '\p{{L}}') THEN 'LATIN' ELSE 'mixed' END AS script FROM lex)"""
 
