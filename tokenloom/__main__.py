@@ -6,12 +6,14 @@ import argparse
 import json
 import sys
 
+from tokenloom.logs import show_messages
 from tokenloom.operators import compare as C
 from tokenloom.operators.presets import render_presets
 from tokenloom.plans.config import load_config, parse_overrides
 from tokenloom.plans.run import TrimPipeline, render
 from tokenloom.sources.corpus import read_sample_texts
-from tokenloom.sources.tokenizer import MODELS, TokenizerDocument
+from tokenloom.sources.backends import supported_model_types
+from tokenloom.sources.tokenizer import TokenizerDocument
 
 
 def _spark():
@@ -44,12 +46,14 @@ def main(argv: list[str] | None = None) -> int:
     compare.add_argument("--examples", type=int, default=10)
     compare.add_argument("-o", "--output")
     commands.add_parser("presets", help="list the presets")
+    parser.add_argument("-v", "--verbose", action="store_true", help="show all messages")
     args = parser.parse_args(argv)
+    show_messages("DEBUG" if args.verbose else "INFO")
     if args.command == "presets":
         print(render_presets())
     elif args.command == "inspect":
         about = TokenizerDocument.from_path(args.tokenizer).describe()
-        print(json.dumps(about | {"supported": about["model_type"] in MODELS}, indent=2, ensure_ascii=False))
+        print(json.dumps(about | {"supported": about["model_type"] in supported_model_types()}, indent=2, ensure_ascii=False))
     elif args.command == "compare":
         base, other = TokenizerDocument.from_path(args.base), TokenizerDocument.from_path(args.other)
         report = C.compare_tokenizers(_spark(), base, other, read_sample_texts(args.texts) if args.texts else None, args.preset, args.examples)

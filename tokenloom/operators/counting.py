@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.encode import count_tokens
-from tokenloom.sources.corpus import open_dataset, sample, texts
+from tokenloom.sources.corpus import open_dataset, path_exists, sample, texts
+from tokenloom.sources.scratch import cut
 
 
 def count_occurrences(tokens: DataFrame, key: str = "token") -> DataFrame:
@@ -60,6 +61,13 @@ class Counts:
         return {"counts": {str(r["token_id"]): r["n"] for r in rows}, "total_num_tokens": self.total, "num_documents": self.documents, "samples": self.samples}
 
     def save(self, path: str | Path) -> None:
+        """A ``.json`` path gets one document, for interchange; any other a folder of two tables on any file system."""
+        if Path(path).suffix != ".json":
+            spark = self.counts.sparkSession
+            self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+            about = spark.createDataFrame([(self.total, self.documents, self.samples)], "total long, documents long, samples array<string>")
+            about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+            return
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(json.dumps(self.to_dict(), ensure_ascii=False), "utf-8")
 
@@ -70,12 +78,15 @@ class Counts:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str | Path) -> Counts:
+        if Path(path).suffix != ".json":
+            about = spark.read.parquet(f"{path}/about").first()
+            return cls(spark.read.parquet(f"{path}/counts"), about["total"], about["documents"], list(about["samples"]))
         return cls.from_dict(spark, json.loads(Path(path).read_text("utf-8")))
 
 
 def count_corpus(spark: SparkSession, document: str, corpus, seed: int = 0, sample_size: int = 256) -> Counts:
     """Count all datasets of a configuration, each with its weight; the cache is read if there, else written."""
-    if corpus.counts_cache and Path(corpus.counts_cache).exists():
+    if corpus.counts_cache and path_exists(spark, corpus.counts_cache):
         return Counts.load(spark, corpus.counts_cache)
     parts, read = [], None
     for spec in corpus.datasets:
@@ -88,7 +99,7 @@ def count_corpus(spark: SparkSession, document: str, corpus, seed: int = 0, samp
     for more in parts[1:]:
         together = together.unionByName(more)
     counts = together.groupBy("token_id").agg(F.sum("n").alias("n"))
-    counts = spark.createDataFrame(counts.toArrow())  # of vocabulary size
+    counts = cut(counts, "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     out = Counts(counts, total, read.count(), [r["text"] for r in sample(read, sample_size, seed).collect()])
     if corpus.counts_cache:

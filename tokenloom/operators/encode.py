@@ -86,9 +86,9 @@ def unigram_of(distinct: DataFrame, pieces: DataFrame, unk: int, most: int = 100
 
 @cache
 def _model(document: str):
-    from tokenizers import Tokenizer
+    from tokenloom.errors import needed
 
-    return Tokenizer.from_str(document)
+    return needed("tokenizers", "encoding by a tokenizer document").Tokenizer.from_str(document)
 
 
 def _ids(document: str, texts: list[str]) -> list[list[int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql.types import ArrayType
 
 from tokenloom.operators.ranking import ranked
 
+log = logging.getLogger(__name__)
+
 
 def dense_remap(kept: DataFrame, key: str = "token_id") -> DataFrame:
     """old_id, new_id: survivors numbered from 0 in their old order."""
@@ -30,6 +33,31 @@ def remap_between(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("token", F.col("token_id").alias("old_id")).join(new.select("token", F.col("token_id").alias("new_id")), "token").select("old_id", "new_id")
 
 
+def to_new(ids: DataFrame, remap: DataFrame, column: str = "token_id") -> DataFrame:
+    """Rows with ``new_id``, null where the token is gone."""
+    return ids.join(remap.select(F.col("old_id").alias(column), "new_id"), column, "left")
+
+
+def to_old(ids: DataFrame, remap: DataFrame, column: str = "token_id") -> DataFrame:
+    """Rows of new ids with ``old_id``, null where there is no such new id."""
+    return ids.join(remap.select(F.col("new_id").alias(column), "old_id"), column, "left")
+
+
+def surviving(ids: DataFrame, remap: DataFrame, column: str = "token_id") -> DataFrame:
+    """The rows whose token is kept."""
+    return ids.join(remap.select(F.col("old_id").alias(column)), column, "left_semi")
+
+
+def padding_after(padding_idx: int | None, remap: DataFrame) -> int | None:
+    """A table's padding row under its new number; none, with a warning, where that token is gone."""
+    if padding_idx is None:
+        return None
+    found = remap.where(F.col("old_id") == padding_idx).first()
+    if found is None:
+        log.warning("the padding row %d was dropped, so the table has none any more", padding_idx)
+    return None if found is None else found["new_id"]
+
+
 def map_sequences(sequences: DataFrame, remap: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     """key and ids in new numbers, null if any of them is gone; an empty sequence stays empty."""
     each = sequences.select(key, F.posexplode_outer(ids).alias("pos", "old_id"))
@@ -41,10 +69,9 @@ def map_sequences(sequences: DataFrame, remap: DataFrame, key: str, ids: str = "
 
 def gather_rows(table: DataFrame, remap: DataFrame, pad_to: int | None = None, row: str = "row_id", vec: str = "vec") -> DataFrame:
     """row_id, vec: the survivors' rows under their new numbers, followed by rows of zeros up to a multiple of ``pad_to``."""
-    rows = table.agg(F.max(row)).first()[0]
-    highest = remap.agg(F.max("old_id")).first()[0]
-    if highest is not None and (rows is None or highest > rows):
-        raise ValueError(f"id {highest} has no row in a table of {0 if rows is None else rows + 1}")
+    missing = remap.join(table.select(F.col(row).alias("old_id")), "old_id", "left_anti").orderBy("old_id").first()
+    if missing is not None:
+        raise ValueError(f"id {missing['old_id']} has no row in the table")
     out = table.join(remap, table[row] == remap["old_id"]).select(F.col("new_id").alias("row_id"), vec)
     if pad_to:
         n = remap.count()

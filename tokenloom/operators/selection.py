@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators.presets import resolve_preset
 from tokenloom.operators.ranking import ranked
+from tokenloom.sources.backends import get_backend
 from tokenloom.sources.corpus import read_token_file
 from tokenloom.sources.scratch import cut, cut_counted
 
@@ -246,9 +247,9 @@ def select_tokens(document, tables: dict[str, DataFrame], counts, config) -> Sel
         chosen = cut_by_corpus(counts.counts, config.min_count, config.top_k, config.coverage, counts.total)
         sources.append(chosen.select("token_id", F.lit(CORPUS).alias("reason")))
     kept = cut(provenance(sources), "kept")
-    deps = None
-    if document.model_type == "BPE":
-        deps = cut(merge_dependencies(tables["merges"], tables["vocab"]), "deps")
+    deps = get_backend(document.model_type).dependencies(tables)
+    if deps is not None:
+        deps = cut(deps, "deps")
         more = expand_dependencies(kept, deps).select("token_id", F.array(F.lit(DEPENDENCY)).alias("reasons"))
         kept = cut(kept.unionByName(more), "closed")
     kept = kept.withColumn("structural", F.array_contains("reasons", STRUCTURAL))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 from pathlib import Path
 from typing import Any, Self
 
 from pydantic import BaseModel, ConfigDict, Field, model_validator
 
+log = logging.getLogger(__name__)
 SIDECARS = ["modules.json", "[0-9]_*/*", "config_sentence_transformers.json", "sentence_bert_config.json"]
 
 
@@ -105,6 +107,16 @@ class Config(_Strict):
     selection: Selecting = Field(default_factory=Selecting)
     embeddings: Embeddings = Field(default_factory=Embeddings)
 
+    @model_validator(mode="after")
+    def _without_effect(self) -> Self:
+        """Settings that only mean something where weights can be loaded or names resolved over a network."""
+        idle = {"revision": self.revision, "embeddings.dtype": self.embeddings.dtype, "embeddings.auto_class": self.embeddings.auto_class, "verify_model": "verify_model" in self.model_fields_set and self.verify_model or None}
+        idle |= {f"corpus.datasets.{i}.{field}": getattr(d, field) for i, d in enumerate(self.corpus.datasets) for field in ("revision", "name")}
+        for name, value in idle.items():
+            if value is not None:
+                log.warning("%s has no effect here: tables and local files are read as they are", name)
+        return self
+
     @model_validator(mode="after")
     def _rules(self) -> Self:
         self.model = os.path.expanduser(self.model)

@@ -234,8 +234,8 @@ TEMPLATE = "{% for message in messages %}{% if message['role'] == 'user' %}<|im_
 
 @query(r"""
 WITH t AS (SELECT '""" + TEMPLATE.replace("'", "''") + r"""' AS x),
-outside AS (SELECT unnest(regexp_split_to_array(x, '(?s)\{[{%#].*?[}%#]\}')) AS part FROM t),
-inside AS (SELECT unnest(regexp_extract_all(x, '(?s)\{[{%#].*?[}%#]\}')) AS part FROM t),
+outside AS (SELECT unnest(regexp_split_to_array(x, '(?s)\{(?:\{.*?\}|%.*?%|#.*?#)\}')) AS part FROM t),
+inside AS (SELECT unnest(regexp_extract_all(x, '(?s)\{(?:\{.*?\}|%.*?%|#.*?#)\}')) AS part FROM t),
 quoted AS (SELECT unnest(regexp_extract_all(part, '''[^'']*''|"[^"]*"')) AS q FROM inside),
 lines AS (SELECT unnest(['system', 'user', 'assistant', 'tool', 'function', 'developer']) AS line UNION ALL
     SELECT unnest(string_split(part, chr(10))) FROM outside UNION ALL SELECT substr(q, 2, length(q) - 2) FROM quoted),

@@ -82,6 +82,11 @@ class TrimPipeline:
         if len(trimmed.vocabulary) != len(new):
             raise RuntimeError(f"the trimmed tokenizer has {len(trimmed.vocabulary)} tokens instead of {len(new)}")
         (out / "tokenizer.json").write_text(trimmed.to_json(), "utf-8")
+        reloaded = TokenizerDocument.from_path(out / "tokenizer.json")
+        if len(reloaded.vocabulary) != len(new):
+            raise RuntimeError(f"the tokenizer that was written has {len(reloaded.vocabulary)} tokens instead of {len(new)}")
+        for name in ("vocab", "merges"):
+            reloaded.tables(self.spark)[name].write.mode("overwrite").parquet(str(out / f"{name}.parquet"))
         source = Path(config.model)
         settings = source / "tokenizer_config.json"
         if source.is_dir() and settings.exists():
@@ -105,7 +110,9 @@ class TrimPipeline:
         """Gather the rows of embedding, head and bias tables (Parquet) that lie with the tokenizer; renumber ``config.json``."""
         read = {n: self.spark.read.parquet(str(source / f"{n}.parquet")) for n in ("embedding", "head", "bias") if (source / f"{n}.parquet").exists()}
         config = source / "config.json"
+        padding = None
         if config.is_file():
+            padding = json.loads(config.read_text("utf-8")).get("pad_token_id")
             settings, lost = R.remap_settings(json.loads(config.read_text("utf-8")), new)
             for name in lost:
                 log.warning("%s named a token that is gone", name)
@@ -119,7 +126,7 @@ class TrimPipeline:
         vectors = [n for n in made if n != "bias"]
         before = sum(R.parameters(read[n]) for n in vectors) + (read["bias"].count() if "bias" in read else 0)
         after = sum(R.parameters(made[n]) for n in vectors) + (made["bias"].count() if "bias" in made else 0)
-        return {"rows_before": read["embedding"].count(), "rows_after": made["embedding"].count(), "tokens": len(new), "parameters_before": before, "parameters_after": after, "parameters_removed": before - after}
+        return {"rows_before": read["embedding"].count(), "rows_after": made["embedding"].count(), "tokens": len(new), "padding_idx": R.padding_after(padding, numbers), "parameters_before": before, "parameters_after": after, "parameters_removed": before - after}
 
     def report(self, selection: Selection, counts: Counts | None) -> dict[str, Any]:
         before, after = len(self.load().vocabulary), selection.kept.count()

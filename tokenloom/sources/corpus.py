@@ -36,6 +36,11 @@ def _filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _filesystem(spark, path)
+    return fs.exists(at)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     fs, at = _filesystem(spark, path)
     return fs.exists(at) and fs.getFileStatus(at).isDirectory()
