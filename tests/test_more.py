@@ -147,7 +147,6 @@ def test_public_names_and_messages(capsys):
     assert len(tokenloom.show_messages("INFO").handlers) == 1
     own.info("hello")
     assert "hello" in capsys.readouterr().err
-    own.propagate = True
     with pytest.raises(tokenloom.MissingDependencyError, match="frobnitz"):
         from tokenloom.errors import needed
 

@@ -18,5 +18,4 @@ def show_messages(level: int | str = logging.INFO) -> logging.Logger:
     _handler.setFormatter(logging.Formatter("%(levelname)s %(name)s: %(message)s"))
     own.addHandler(_handler)
     own.setLevel(level)
-    own.propagate = False
     return own
