@@ -519,6 +519,18 @@ def test_chat_repair(spark, monkeypatch):
     assert chat.repair(table.limit(0)).count() == 0
 
 
+def test_chats_of_all_kinds(spark, monkeypatch):
+    """String ids, one turn number for all, repeated rows, very long texts, columns with names of the operator's own."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rows = [("a", None, "user", f"q{i}") for i in range(9)] + [("a", None, "user", "q0")] * 3 + [("b", 1, "user", "x" * 300_000), ("b", 2, "gpt", None), (None, 1, "assistant", "alone")]
+    table = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("row", "block", "hash", "id", "none", "conv", "start", "turns", "n")})
+    found = plain(chat.repair(table))
+    assert len(found) == len(rows) and collections.Counter(f["conv_id"] for f in found) == {"a": 12, "b": 2, None: 1}
+    texts = {f["conv_id"]: f for f in plain(chat.render(table))}
+    assert texts["a"]["cost"] == 11 * chat.MERGE + chat.INSERT and texts["a"]["text"].count("q0") == 4 and len(texts["b"]["text"]) > 300_000
+    assert texts[None]["cost"] == chat.INSERT and sorted({f["block"] for f in found if f["conv_id"] == "a"}) == [0, 1, 2]
+
+
 def test_long_pieces_equal_the_library():
     """Pieces without a break, from just too long for one query to 20,000 bytes, random or periodic."""
     import tiktoken

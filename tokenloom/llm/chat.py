@@ -7,22 +7,27 @@ end followed, by inserted empty messages (3 each). Ties go to the option listed
 merged, inserted. The repaired sequence is rendered in segments, one for each given turn, whose concatenation
 in order is the conversation's text; so no conversation needs to fit one row or task.
 
-Long conversations are cut into blocks of BLOCK turn numbers. Each block's least costs from every state to every other are
+All turns are numbered in order of conversation, turn (null last), role, hash of the text; range partitions do that, so a conversation of any
+size, or one turn number that repeats, is no single task. Long conversations are cut into blocks of BLOCK
+turns. Each block's least costs from every state to every other are
 a small matrix; the matrices of a conversation, chained, fix the states between its blocks, in which
-each block then finds its own path. Turns are in order of turn (null last), role, text. A null conv_id is a
-conversation, a null or unknown role is one to be relabelled, a null text is empty. Marks of the format
+each block then finds its own path. A null conv_id is a
+conversation, ids that aren't whole numbers are told apart as strings, a null or unknown role is one to be relabelled, a null text is empty. Marks of the format
 within a text are broken up. Repeated rows are repeated turns. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tokenloom.llm.common import cut, ship
+from tokenloom.llm.common import cut, ship, split_join
+from tokenloom.llm.sharding import number_rows
 
 BLOCK = 1024
 ROLES = ("system", "user", "assistant")
@@ -173,35 +178,36 @@ def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*buffer, strict=True), schema, strict=True)], schema=schema)
 
 
-_KEYS = [("none", pa.int32()), ("conv", pa.int64()), ("block", pa.int64())]
+def _keys(conv: pa.DataType) -> list[tuple[str, pa.DataType]]:
+    return [("none", pa.int32()), ("conv", conv), ("block", pa.int64())]
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrices(batches: Iterator[pa.RecordBatch], conv: pa.DataType) -> Iterator[pa.RecordBatch]:
     rows = ((*key, matrix(g["role"])) for key, g in groups(batches, [*KEYS, "block"]))
-    return _emit(rows, pa.schema([*_KEYS, ("costs", pa.list_(pa.int64()))]))
+    return _emit(rows, pa.schema([*_keys(conv), ("costs", pa.list_(pa.int64()))]))
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chains(batches: Iterator[pa.RecordBatch], conv: pa.DataType) -> Iterator[pa.RecordBatch]:
     def rows():
         for key, g in groups(batches, KEYS):
             states = chain(g["costs"])
             for i, block in enumerate(g["block"]):
                 yield *key, block, states[i], states[i + 1], i + 1 == len(g["block"])
 
-    return _emit(rows(), pa.schema([*_KEYS, ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_())]))
+    return _emit(rows(), pa.schema([*_keys(conv), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_())]))
 
 
 _OUT = [("turn", pa.int64()), ("role", pa.string()), ("place", pa.int64()), ("new_role", pa.string()), ("action", pa.string()), ("inserted_before", pa.list_(pa.string())), ("inserted_after", pa.list_(pa.string())), ("cost", pa.int32()), ("segment", pa.string())]
 
 
-def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repaired(batches: Iterator[pa.RecordBatch], conv: pa.DataType) -> Iterator[pa.RecordBatch]:
     def rows():
         for key, g in groups(batches, [*KEYS, "block"]):
             found = segments(g["role"], g["text"], g["enter"][0], g["leave"][0], g["last"][0])
             for i, segment in enumerate(found):
                 yield *key, g["turn"][i], g["role"][i], i, *segment
 
-    return _emit(rows(), pa.schema([*_KEYS, *_OUT]))
+    return _emit(rows(), pa.schema([*_keys(conv), *_OUT]))
 
 
 def repair(conversations: DataFrame) -> DataFrame:
@@ -209,28 +215,29 @@ def repair(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     ship(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small bytes but long work aren't put together
-    conv = conversations["conv_id"].cast("long")
-    turn = conversations["turn"].cast("long")
+    whole = isinstance(conversations.schema["conv_id"].dataType, IntegralType)
+    kind, arrow = ("long", pa.int64()) if whole else ("string", pa.string())
+    conv = conversations["conv_id"].cast(kind)
+    text = conversations["text"].cast("string")
     rows = conversations.select(
-        conv.isNull().cast("int").alias("none"), F.coalesce(conv, F.lit(0)).alias("conv"),
-        F.coalesce(F.floor(turn / BLOCK).cast("long"), F.lit((1 << 62))).alias("block"),
-        F.coalesce(turn, F.lit((1 << 63) - 1)).alias("turn"),
-        conversations["role"].cast("string").alias("role"), conversations["text"].cast("string").alias("text"),
+        conv.isNull().cast("int").alias("none"), F.coalesce(conv, F.lit(0 if whole else "")).alias("conv"),
+        conversations["turn"].try_cast("long").alias("turn"), conversations["role"].cast("string").alias("role"), text.alias("text"),
+        F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("id"),
     )
+    order = ["none", "conv", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "hash", "id"]
+    numbered = number_rows(rows, [F.col(c).asc() if isinstance(c, str) else c for c in order]).select("none", "conv", "turn", "role", "text", "row")
+    first = cut(numbered.groupBy(*KEYS).agg(F.min("row").alias("start"), F.count("*").alias("turns")), "starts")
+    placed = split_join(numbered, first, KEYS, "turns").withColumn("block", F.expr(f"(row - start) div {BLOCK}"))
     key = [*KEYS, "block"]
-    order = [*key, "turn", F.col("role").asc_nulls_last()]
-    slim = rows.select(*key, "turn", "role").repartition(tasks, *key).sortWithinPartitions(*order)
-    costs = cut(slim.mapInArrow(_matrices, "none int, conv long, block long, costs array<long>"), "matrices")
-    states = costs.repartition(tasks, *KEYS).sortWithinPartitions(*key).mapInArrow(_chains, "none int, conv long, block long, enter int, leave int, last boolean")
+    slim = placed.select(*key, "row", "role").repartition(tasks, *key).sortWithinPartitions(*key, "row")
+    names = f"none int, conv {kind}, block long"
+    costs = cut(slim.mapInArrow(partial(_matrices, conv=arrow), f"{names}, costs array<long>"), "matrices")
+    states = costs.repartition(tasks, *KEYS).sortWithinPartitions(*key).mapInArrow(partial(_chains, conv=arrow), f"{names}, enter int, leave int, last boolean")
     states = cut(states, "states")
-    placed = rows.join(states, key).repartition(tasks, *key).sortWithinPartitions(*order, F.col("text").asc_nulls_last())
-    schema = "none int, conv long, block long, turn long, role string, place long, new_role string, action string, inserted_before array<string>, inserted_after array<string>, cost int, segment string"
-    done = placed.mapInArrow(_repaired, schema)
-    return done.select(
-        F.when(F.col("none") == 0, F.col("conv")).alias("conv_id"), "block", "place",
-        F.when(F.col("turn") < (1 << 63) - 1, F.col("turn")).alias("turn"),
-        "role", "new_role", "action", "inserted_before", "inserted_after", "cost", "segment",
-    )
+    ready = placed.join(states, key).repartition(tasks, *key).sortWithinPartitions(*key, "row")
+    schema = f"{names}, turn long, role string, place long, new_role string, action string, inserted_before array<string>, inserted_after array<string>, cost int, segment string"
+    done = ready.select(*key, "turn", "role", "text", "enter", "leave", "last").mapInArrow(partial(_repaired, conv=arrow), schema)
+    return done.select(F.when(F.col("none") == 0, F.col("conv")).alias("conv_id"), "block", "place", "turn", "role", "new_role", "action", "inserted_before", "inserted_after", "cost", "segment")
 
 
 def render(conversations: DataFrame) -> DataFrame:
