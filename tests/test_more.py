@@ -51,6 +51,28 @@ def test_ranking_knows_the_total(spark):
     assert all(b["before"] == a["before"] + a["n"] for a, b in zip(found, found[1:]))
 
 
+def test_scratch_tables_are_cleared_but_for_the_newest(spark):
+    from tokenloom.sources.scratch import clear, cut, cut_counted, made
+
+    since = made()
+    first = cut(spark.range(5))
+    second, n = cut_counted(first.where("id > 1"))
+    clear(spark, since)
+    assert n == 3 and second.count() == 3 and made() == since + 1
+    with pytest.raises(Exception, match="exist|NOT_FOUND"):
+        spark.read.parquet(first.inputFiles()[0]).count()
+
+
+def test_order_along_range_partitions(spark):
+    from tokenloom.operators.compare import order_preserved
+
+    pairs = [(i, 2 * i) for i in range(500)]
+    kept = lambda rows: order_preserved(spark.createDataFrame(rows, "b int, o int").repartition(5)).first()[0]
+    assert kept(pairs) and kept(pairs[:1]) and order_preserved(spark.createDataFrame([], "b int, o int")).first()[0]
+    for i in (0, 124, 250, 498):
+        assert not kept([*pairs[:i], (i, 2 * i + 2), (i + 1, 2 * i), *pairs[i + 2 :]])
+
+
 def test_split_expressions(spark, tmp_path):
     spark.range(40).withColumn("text", F.col("id").cast("string")).coalesce(1).write.parquet(str(tmp_path / "d"))
     read = lambda split: column(open_dataset(spark, Dataset(path="parquet", split=split, data_files=str(tmp_path / "d"))), "id")

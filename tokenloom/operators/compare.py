@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import classified
 from tokenloom.operators.presets import describe_presets, resolve_preset
+from tokenloom.sources.scratch import cut
 
 DECILES = 10
 EXAMPLES = 5
@@ -24,8 +25,7 @@ def ratio(part: Column, whole: Column, empty: float = 1.0) -> Column:
 def vocabulary_diff(base: DataFrame, other: DataFrame) -> DataFrame:
     """One row: sizes, shared, removed, introduced, is_subset, ids_contiguous, order_preserved, removed_fraction.
 
-    The order is kept if other ids rise with base ids; each shared token needs only the greatest other id before it, so
-    the ids are compared along the base's order.
+    The order is kept if other ids rise with base ids.
     """
     both = base.select("token", F.col("token_id").alias("b")).join(other.select("token", F.col("token_id").alias("o")), "token", "full_outer")
     shared = F.col("b").isNotNull() & F.col("o").isNotNull()
@@ -34,8 +34,7 @@ def vocabulary_diff(base: DataFrame, other: DataFrame) -> DataFrame:
         F.count_if(F.col("o").isNull()).alias("removed"), F.count_if(F.col("b").isNull()).alias("introduced"),
         F.min("o").alias("low"), F.max("o").alias("high"), F.count_distinct("o").alias("ids"),
     )
-    along = W.orderBy("b")  # a vocabulary's size, not a corpus's
-    order = both.where(shared).withColumn("ok", F.coalesce(F.lag("o").over(along) < F.col("o"), F.lit(True))).agg(F.coalesce(F.min("ok"), F.lit(True)).alias("order_preserved"))
+    order = order_preserved(both.where(shared).select("b", "o"))
     joined = sums.withColumn("_k", F.lit(1)).join(order.withColumn("_k", F.lit(1)), "_k")
     return joined.select(
         "base_size", "other_size", "shared", "removed", "introduced", (F.col("introduced") == 0).alias("is_subset"),
@@ -44,6 +43,16 @@ def vocabulary_diff(base: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
+def order_preserved(pairs: DataFrame) -> DataFrame:
+    """One row, order_preserved: whether ``o`` rises with ``b``. Range partitions are compared each by itself, then their first and last rows."""
+    placed = cut(pairs.repartitionByRange("b").sortWithinPartitions("b").withColumn("_at", F.monotonically_increasing_id()), "order")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    before = F.lag("o").over(W.partitionBy("_part").orderBy("_at"))
+    parts = placed.withColumn("ok", F.coalesce(before < F.col("o"), F.lit(True))).groupBy("_part").agg(F.min("ok").alias("ok"), F.min_by("o", "_at").alias("low"), F.max_by("o", "_at").alias("high"))
+    edge = F.coalesce(F.lag("high").over(W.orderBy("_part")) < F.col("low"), F.lit(True))  # a row a partition
+    return parts.withColumn("ok", F.col("ok") & edge).agg(F.coalesce(F.min("ok"), F.lit(True)).alias("order_preserved"))
+
+
 def removed(base: DataFrame, other: DataFrame) -> DataFrame:
     return base.join(other.select("token"), "token", "left_anti")
 

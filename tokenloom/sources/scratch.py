@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where none is set and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,10 +31,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write a table to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables this process has written so far."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int) -> None:
+    """Delete the tables written after the first ``since``, but for the newest: what was computed from them is in that one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _made[since:-1]:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[since:-1]
+
+
 def cut_counted(df: DataFrame, name: str = "cut", what: Column | None = None) -> tuple[DataFrame, int]:
     """The same, and the number of rows (or another aggregate) as the write itself saw it."""
     seen = Observation()
