@@ -18,6 +18,8 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -174,12 +176,13 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, undoing one plane after another from the lowest bit."""
-        ids = np.zeros(self.tokens, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        ids = np.zeros(self.tokens, kind)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self._bytes(level, 0, (self.tokens + 7) // 8), count=self.tokens).astype(bool)
             up = np.empty_like(ids)
             up[~one] = ids[: self.zeros[level]]
-            up[one] = ids[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            up[one] = ids[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             ids = up
         return ids
 
@@ -278,16 +281,16 @@ class Words:
         starts, _ = word_bounds(data, offsets, NOT_SPACE)
         words = data.tobytes().split()
         found = list(map(self.known.get, words))
-        if None in found:
-            missing = [i for i, f in enumerate(found) if f is None]
+        missing = list(compress(range(len(found)), map(not_, found)))  # unknown ones, and the rare ones without any id
+        if missing:
             if len(self.known) > CACHE:
                 self.known = {}
             self.learn(list({words[i] for i in missing}))
             for i in missing:
                 found[i] = self.known[words[i]]
-        total = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=total[1:])
-        return np.frombuffer(b"".join(found), "<u4"), np.diff(total[np.searchsorted(starts, offsets)]) // 4
+        cuts = np.searchsorted(starts, offsets).tolist()
+        rows = [b"".join(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.frombuffer(b"".join(rows), "<u4"), np.array([len(row) // 4 for row in rows], np.int64)
 
 
 _words: dict[str, Words] = {}
