@@ -237,6 +237,42 @@ def test_fit_learns_held_out_lines(spark):
     assert quality.fit_on(docs, labels.limit(0)) == quality.DEFAULT
 
 
+@pytest.mark.parametrize("roll", [2, 4])
+def test_chunks_line_by_line(monkeypatch, roll):
+    """Chunk boundaries by a loop over lines in plain integers; those after an insertion come back."""
+    monkeypatch.setattr(line_dedup, "ROLL", roll)
+    r = random.Random(roll)
+    whole = (1 << 64) - 1
+
+    def scramble(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & whole
+        return x ^ x >> 31
+
+    def hashed(line):
+        raw = np.frombuffer(line.encode(), np.uint8)
+        return int(line_dedup.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    def firsts(lines):
+        out, begin = [0], 0
+        for i in range(len(lines) - 1):
+            window = sum(hashed(lines[i - j]) * int(line_dedup.BASE) ** j for j in range(roll)) if i >= roll - 1 else None
+            cut = window is not None and scramble(window & whole) % line_dedup.DIVISOR == 0 and i - begin + 1 >= line_dedup.LEAST_LINES
+            if cut or i - begin + 1 == line_dedup.MOST_LINES:
+                begin = i + 1
+                out.append(begin)
+        return out
+
+    docs = [[f"line {r.randrange(300)}" for _ in range(r.randrange(1, 120))] for _ in range(30)] + [["same"] * 50, [""]]
+    raws = ["\n".join(d).encode() for d in docs]
+    c = line_dedup.Chunks(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]))
+    for i, d in enumerate(docs):
+        assert (c.first[c.rows[i] : c.rows[i + 1]] - c.line_rows[i]).tolist() == firsts(d)
+    long = [f"line {r.randrange(300)}" for _ in range(100)]
+    before, after = set(firsts(long)), {x - 3 for x in firsts([*"xyz", *long])}
+    assert len([x for x in before if x > 20] and {x for x in before if x > 20} & after) >= 0.9 * len([x for x in before if x > 20])
+
+
 def test_catch_alls_give_way_to_named_licenses(spark):
     texts = ["Licensed under the GPL-3.0-only license. GNU General Public License v3", "licensed under the creative commons attribution noncommercial 4.0 license", "licensed under the frobnitz", "nothing here"]
     labels = [set(f["labels"].split(",")) for f in sorted(plain(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), key=lambda f: f["doc_id"])]

@@ -1,6 +1,6 @@
 """Line dedup over content-defined chunks of lines and passages of over PASSAGE_WORDS words.
 
-A rolling hash over the hashes of two successive lines ends a chunk where it is divisible by DIVISOR, so boundaries
+A rolling hash over the hashes of ROLL successive lines ends a chunk where it is divisible by DIVISOR, so boundaries
 depend on the lines next to them alone and come back after insertions; a chunk has 2 to 16
 lines. Of chunks with at least two lines of words that occur more than once in the whole corpus, all but the
 first are removed. Besides, wherever chunks end, a line is removed that lies in successive lines of over
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from tokenloom.llm.common import NOT_SPACE, column_bytes, cut, map_slices, mix, span_hashes, split_join, text_or_empty, word_bounds
 from tokenloom.llm.quality import lines_of
 
+#: Lines that the rolling hash spans, and its base: each step multiplies by the base and adds a line's hash.
+ROLL, BASE = 2, np.uint64(0xC2B2AE3D27D4EB4F)
 DIVISOR = 3
 LEAST_LINES, MOST_LINES = 2, 16
 #: Repeated successive lines of more words than that are a passage.
@@ -41,13 +43,15 @@ class Chunks:
         hashes = span_hashes(data, ls, le)
         rolled = np.zeros(len(hashes), np.uint64)
         with np.errstate(over="ignore"):
-            rolled[1:] = mix(hashes[1:] + hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F))
-        ends_here = rolled % np.uint64(DIVISOR) == 0
+            for back in range(min(ROLL, len(hashes)) - 1, -1, -1):
+                rolled *= BASE
+                rolled[back:] += hashes[: len(hashes) - back]
+        ends_here = mix(rolled) % np.uint64(DIVISOR) == 0
         firsts, counts = [], []
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
             begin, before = a, len(firsts)
             firsts.append(a)
-            for i in (np.flatnonzero(ends_here[a + 1 : b]) + a + 1).tolist():
+            for i in (np.flatnonzero(ends_here[a + ROLL - 1 : b]) + a + ROLL - 1).tolist():
                 while i - begin >= MOST_LINES:
                     begin += MOST_LINES
                     firsts.append(begin)
