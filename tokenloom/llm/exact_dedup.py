@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import HOT_SHARE, cut, split_join, text_or_empty
 
-CAPACITY = 512
+CAPACITY = 128
 #: A bucket may be split so many times below the directory's first bits, which suit the number of keys; a 64-bit hash of that
 #: many keys never needs as many. A bucket that did would keep all its entries (an overflow chain).
 SPLITS, MOST_BITS = 8, 48
