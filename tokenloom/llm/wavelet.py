@@ -22,6 +22,7 @@ from itertools import compress
 from operator import not_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
@@ -31,12 +32,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import LOWER, NOT_SPACE, byte_table, column_bytes, cut, scratch_path, ship, slices, text_or_empty, word_bounds
+from tokenloom.llm.common import LOWER, NOT_SPACE, byte_table, column_bytes, cut, scratch_path, ship, slices, span_hashes, text_or_empty, word_bounds
 
 MAGIC = b"WAVELET1"
 BLOCK = 1 << 16  # bytes of a plane that are compressed together
 RANK = 512  # bits between stored counts
 SHARD_TOKENS = 1 << 24
+SLICE = 1 << 21  # bytes of text whose words are looked up together
+TOGETHER = 500  # words of letters that are encoded as one text
 CACHE = 1_000_000  # words that a worker keeps, some 200 bytes each
 END = 2
 
@@ -201,8 +204,11 @@ def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends[1:] |= pair
     begins[:-1] |= pair
     mark = _MARK[data]
-    gaps = np.flatnonzero(ends[:-1] & mark[1:] | mark[:-1] & begins[1:]) + 1
-    cuts = np.union1d(gaps, offsets[(offsets > 0) & (offsets < n)])
+    here = np.zeros(n + 1, bool)
+    here[1:-1] = ends[:-1] & mark[1:] | mark[:-1] & begins[1:] if n else False
+    here[offsets] = True
+    here[0] = here[n] = False
+    cuts = np.flatnonzero(here)
     return np.insert(data, cuts, 0x20), offsets + np.searchsorted(cuts, offsets)
 
 
@@ -210,14 +216,38 @@ _LETTER = byte_table([*range(97, 123)])
 _MARK = byte_table([b for b in range(33, 127) if not chr(b).isalnum() and b != 39])
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number among the distinct ones, and where these stand first. Words are told apart by hash, and by their length and
+    first and last eight bytes; should words of one hash differ in these, all are compared by their bytes."""
+    codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 8, "<u8", padded, 0, (1,))
+    size = ends - starts
+    keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+    for value in (size, eight[starts + 8] & keep, eight[ends] >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))):
+        if (value != value[first][codes]).any():
+            raw = data.tobytes()
+            codes, _ = pd.factorize(np.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] + [None], object)[:-1])
+            first = np.empty(codes.max(initial=-1) + 1, np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            return codes, first
+    return codes, first
+
+
 class Words:
     """The tokenizer over words, which none of its tokens crosses; known words are kept. A text with one of the tokenizer's added
     tokens in it is encoded whole, so that this becomes its id as in a plain call."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.model = Tokenizer.from_file(path)
         self.added = [t.content.encode().lower() for t in self.model.get_added_tokens_decoder().values()]
         self.model.encode_special_tokens = True
@@ -226,22 +256,24 @@ class Words:
 
     def learn(self, words: list[bytes]) -> None:
         """Words of letters alone are one unit of the tokenizer each, so they are encoded together and cut at the tokens that end
-        a unit; if these aren't as many as the words, and for all other words, each is encoded by itself."""
-        plain, rest = [], []
+        a unit; if these aren't as many as the words, and for all other words, each is encoded by itself. Those of lower-cased ASCII letters
+        need neither normalising nor the tokenizer's own splitting."""
+        simple, plain, rest = [], [], []
         for w in words:
-            (plain if w.isalpha() or w.decode("utf-8", "replace").isalpha() else rest).append(w)
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) != len(part):
-                rest += part
-                continue
-            raw = ids.tobytes()
-            before = 0
-            for word, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.known[word] = raw[before:end]
-                before = end
+            (simple if w.isalpha() else plain if w.decode("utf-8", "replace").isalpha() else rest).append(w)
+        for model, group in ((self.letters, simple), (self.model, plain)):
+            parts = [group[at : at + TOGETHER] for at in range(0, len(group), TOGETHER)]
+            for part, found in zip(parts, model.encode_batch_fast([b" ".join(p).decode("utf-8", "replace") for p in parts], add_special_tokens=False) if parts else [], strict=True):
+                ids = np.array(found.ids, "<u4")
+                ends = np.flatnonzero(self.final[ids]) + 1
+                if len(ends) != len(part):
+                    rest += part
+                    continue
+                raw = ids.tobytes()
+                before = 0
+                for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                    self.known[word] = raw[before:end]
+                    before = end
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]
             for word, found in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
@@ -278,19 +310,26 @@ class Words:
     def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As encode, with added tokens as plain text."""
         data, offsets = apart(data, offsets)
-        starts, _ = word_bounds(data, offsets, NOT_SPACE)
-        words = data.tobytes().split()
+        starts, ends = word_bounds(data, offsets, NOT_SPACE)
+        of, first = distinct_words(data, starts, ends)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         found = list(map(self.known.get, words))
         missing = list(compress(range(len(found)), map(not_, found)))  # unknown ones, and the rare ones without any id
         if missing:
             if len(self.known) > CACHE:
                 self.known = {}
-            self.learn(list({words[i] for i in missing}))
+            self.learn([words[i] for i in missing])
             for i in missing:
                 found[i] = self.known[words[i]]
-        cuts = np.searchsorted(starts, offsets).tolist()
-        rows = [b"".join(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return np.frombuffer(b"".join(rows), "<u4"), np.array([len(row) // 4 for row in rows], np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, n = (np.cumsum(size) - size)[of], size[of]
+        total = np.concatenate([[0], np.cumsum(n)])
+        kind = np.int32 if total[-1] < 1 << 31 else np.int64
+        place = np.repeat((begin - total[:-1]).astype(kind), n)
+        place += np.arange(total[-1], dtype=kind)
+        return ids.take(place), np.diff(total[np.searchsorted(starts, offsets)])
 
 
 _words: dict[str, Words] = {}
@@ -340,7 +379,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end: int = END,
             return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": path, "documents": len(ids), "tokens": tokens}], pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE):
                 found, counts = model.encode(*column_bytes(some.column("text")))
                 coded.append(np.insert(found, np.cumsum(counts), end))
                 ids += some.column("doc_id").to_pylist()
