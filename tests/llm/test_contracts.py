@@ -567,6 +567,22 @@ def test_chats_of_all_kinds(spark, monkeypatch):
     assert texts[None]["cost"] == chat.INSERT and sorted({f["block"] for f in found if f["conv_id"] == "a"}) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_distinct_words_survive_clashing_hashes(monkeypatch, clash):
+    from tokenloom.llm.common import NOT_SPACE, word_bounds
+
+    if clash:
+        monkeypatch.setattr(wavelet, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    r = random.Random(21)
+    words = ["".join(r.choice("ab") for _ in range(r.randrange(1, 20))).encode() for _ in range(500)] + [b"x" * 9 + b"y" + b"x" * 9, b"x" * 19]
+    raw = b" ".join(words)
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = word_bounds(data, np.array([0, len(data)]), NOT_SPACE)
+    of, first = wavelet.distinct_words(data, starts, ends)
+    assert [words[first[k]] for k in of] == words and len(first) == len(set(words))
+    assert [len(x) for x in wavelet.distinct_words(data[:0], starts[:0], ends[:0])] == [0, 0]
+
+
 def test_long_pieces_equal_the_library():
     """Pieces without a break, from just too long for one query to 20,000 bytes, random or periodic."""
     import tiktoken
