@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.sources.scratch import spread
+
 #: Characters that ``str.isspace`` accepts, for use within a character class (Java and RE2 agree on it).
 SPACES = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Words of letters, marks, numbers and underscores, or runs of other visible characters.
@@ -90,7 +92,7 @@ def codepoints(spark: SparkSession) -> DataFrame:
 def characters(tokens: DataFrame, key: str = "token", surface: str = "surface") -> DataFrame:
     """One row for each character of each surface: key, pos, cp. Null and empty surfaces have none."""
     letters = F.posexplode(F.split(surface, "")).alias("pos", "c")
-    return tokens.where(F.col(surface).isNotNull() & (F.col(surface) != "")).select(key, letters).where("c <> ''").select(key, "pos", F.ascii("c").alias("cp"))
+    return spread(tokens.where(F.col(surface).isNotNull() & (F.col(surface) != "")).select(key, surface), key).select(key, letters).where("c <> ''").select(key, "pos", F.ascii("c").alias("cp"))
 
 
 def classified(tokens: DataFrame, key: str = "token", surface: str = "surface") -> DataFrame:

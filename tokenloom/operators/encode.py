@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import words
+from tokenloom.sources.scratch import lookup_side, spread
 
 
 def encode_wordlevel(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", unk: int | None = None, pieces: Column | None = None) -> DataFrame:
     """key, pos, token, token_id for each word; unknown words get ``unk`` (or none, left null)."""
     found = docs.select(key, F.posexplode(pieces if pieces is not None else words(F.col("text"))).alias("pos", "token"))
-    joined = found.join(vocab.select("token", "token_id"), "token", "left")
+    joined = found.join(lookup_side(vocab.select("token", "token_id")), "token", "left")
     return joined.select(key, "pos", "token", (F.coalesce("token_id", F.lit(unk)) if unk is not None else F.col("token_id")).alias("token_id"))
 
 
@@ -31,13 +32,13 @@ def wordpiece_of(distinct: DataFrame, vocab: DataFrame, unk: int, prefix: str =
     then folded from left to right. A word with a place where nothing fits, or of more than ``most`` characters, is unknown.
     """
     size = F.length("token")
-    short = distinct.where(size <= most)
-    longest = vocab.agg(F.max(F.length("token"))).first()[0] or 0  # no longer span can be a piece
+    short = spread(distinct.where(size <= most), "token")
+    longest, n = vocab.agg(F.coalesce(F.max(F.length("token")), F.lit(0)), F.count("*")).first()  # no longer span can be a piece
     spans = short.select("token", F.explode(F.sequence(F.lit(1), size)).alias("at"))
     spans = spans.select("token", "at", F.explode(F.sequence(F.lit(1), F.least(F.length("token") - F.col("at") + 1, F.greatest(F.lit(longest), F.lit(1))))).alias("len"))
     piece = F.expr("substring(token, at, len)")
     spans = spans.withColumn("piece", F.when(F.col("at") == 1, piece).otherwise(F.concat(F.lit(prefix), piece)))
-    hits = spans.join(vocab.select(F.col("token").alias("piece"), "token_id"), "piece")
+    hits = spans.join(lookup_side(vocab.select(F.col("token").alias("piece"), "token_id"), n), "piece")
     best = hits.groupBy("token", "at").agg(F.max(F.struct("len", "token_id")).alias("best"))
     by_word = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("places"))
     fold = """
@@ -62,13 +63,13 @@ def unigram_of(distinct: DataFrame, pieces: DataFrame, unk: int, most: int = 100
     than ``most`` characters are unknown.
     """
     size = F.length("token")
-    longest, least = pieces.agg(F.max(F.length("token")), F.min("score")).first()
-    short = distinct.where(size <= most)
+    longest, least, n = pieces.agg(F.max(F.length("token")), F.min("score"), F.count("*")).first()
+    short = spread(distinct.where(size <= most), "token")
     spans = short.select("token", F.explode(F.sequence(F.lit(1), size)).alias("at"))
     spans = spans.select("token", "at", F.explode(F.sequence(F.lit(1), F.least(size - F.col("at") + 1, F.lit(max(1, longest or 1))))).alias("len"))
     spans = spans.withColumn("piece", F.expr("substring(token, at, len)"))
     known = pieces.select(F.col("token").alias("piece"), F.col("token_id").cast("int").alias("id"), F.col("score").cast("double").alias("score"))
-    hits = spans.join(known, "piece", "left").where("score IS NOT NULL OR len = 1")
+    hits = spans.join(lookup_side(known, n), "piece", "left").where("score IS NOT NULL OR len = 1")
     hits = hits.select("token", (F.col("at") + F.col("len") - 1).alias("end"), F.struct("len", F.coalesce("score", F.lit((least or 0.0) - UNKNOWN_PENALTY)).alias("score"), F.coalesce("id", F.lit(unk)).alias("id")).alias("last"))
     ends = hits.groupBy("token", "end").agg(F.collect_list("last").alias("lasts")).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("end", "lasts"))).alias("places"))
     reach = """

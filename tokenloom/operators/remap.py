@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tokenloom.operators.ranking import ranked
+from tokenloom.sources.scratch import lookup_side
 
 log = logging.getLogger(__name__)
 
@@ -61,7 +62,7 @@ def padding_after(padding_idx: int | None, remap: DataFrame) -> int | None:
 def map_sequences(sequences: DataFrame, remap: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     """key and ids in new numbers, null if any of them is gone; an empty sequence stays empty."""
     each = sequences.select(key, F.posexplode_outer(ids).alias("pos", "old_id"))
-    joined = each.join(remap, "old_id", "left")
+    joined = each.join(lookup_side(remap), "old_id", "left")
     whole = F.count("new_id") == F.count("old_id")
     order = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "new_id")))), lambda x: x["new_id"])
     return joined.groupBy(key).agg(F.when(whole, order).alias(ids))

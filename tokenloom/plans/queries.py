@@ -19,7 +19,7 @@ from tokenloom.operators.encode import count_tokens, encode_wordlevel, wordpiece
 from tokenloom.operators.presets import SURFACE_RULES
 from tokenloom.operators.ranking import ranked
 from tokenloom.sources.corpus import sample, texts
-from tokenloom.sources.scratch import cut
+from tokenloom.sources.scratch import cut, widen
 from tokenloom.sources.tokenizer import template_literals
 
 QUERIES: dict = {}
@@ -50,7 +50,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(read(spark, sf_dir, "documents"))
+    return widen(texts(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
 
 
 def word_rows(docs: DataFrame, *keys: str) -> DataFrame:
@@ -104,7 +104,7 @@ SELECT token, sum(w)::BIGINT AS n FROM each GROUP BY token
 def token_counts_weighted(spark, sf_dir):
     """Three datasets weighing 1, 2 and 0.5; counts are rounded half to even for each document and token."""
     zero = F.lit(0).cast("long")
-    one = texts(read(spark, sf_dir, "documents")).select(F.lit(0).alias("ds"), F.col("doc_id").alias("a"), zero.alias("b"), "text", F.lit(1.0).alias("weight"))
+    one = documents(spark, sf_dir).select(F.lit(0).alias("ds"), F.col("doc_id").alias("a"), zero.alias("b"), "text", F.lit(1.0).alias("weight"))
     two = texts(read(spark, sf_dir, "benchmark")).select(F.lit(1).alias("ds"), F.col("item_id").alias("a"), zero.alias("b"), "text", F.lit(2.0).alias("weight"))
     half = texts(read(spark, sf_dir, "conversations")).select(F.lit(2).alias("ds"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), "text", F.lit(0.5).alias("weight"))
     rows = word_rows(one.unionByName(two).unionByName(half), "ds", "a", "b", "weight")
@@ -510,7 +510,7 @@ def encode_wordpiece_words(spark, sf_dir):
     letters = base.select(F.explode(F.split("token", "")).alias("c")).where("c <> ''").distinct()
     names = letters.select(F.col("c").alias("token")).union(letters.select(F.concat(F.lit("##"), "c"))).union(base.where("n >= 20").select("token"))
     names = names.union(base.where((F.col("n") >= 20) & (F.length("token") <= 4)).select(F.concat(F.lit("##"), "token"))).distinct()
-    vocab = ranked(names, [F.asc("token")]).select("token", (F.col("rk") - 1).cast("int").alias("token_id"))
+    vocab = cut(ranked(names, [F.asc("token")]).select("token", (F.col("rk") - 1).cast("int").alias("token_id")), "pieces")
     return wordpiece_of(base.select("token"), vocab, -1).select("token", F.array_join("ids", " ").alias("ids"))
 
 

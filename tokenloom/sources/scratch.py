@@ -36,6 +36,27 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A lookup table of at most so many rows, some 64 bytes each, may be broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def lookup_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table to be joined to many rows: broadcast if it has few, which is counted, so that frequent keys needn't meet in one task."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer partitions than there are cores, spread over all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many partitions as the session shuffles to: a table of few bytes may be much work a row, and would otherwise
+    be put together in few tasks. Grouping by the keys afterwards moves nothing."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def made() -> int:
     """How many tables this process has written so far."""
     return len(_made)
