@@ -8,7 +8,8 @@ without being decoded. Planes are compressed in blocks that are read alone.
 Documents are range-partitioned and sorted by doc_id (null first, ties by hash of the text), encoded, given an end id
 and written by the task that holds them; a file appears under its final name only when whole, so a task that
 runs again replaces it by the same. Where a document starts among all ids follows from the files' token
-counts, one row a file. A null text is an empty one: its end id alone. An empty table writes no file.
+counts, one row a file. A null text is an empty one: its end id alone. An empty table writes no file. Files keep
+doc_ids as 64-bit whole numbers; others are an error.
 """
 
 from __future__ import annotations
