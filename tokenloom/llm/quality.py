@@ -264,7 +264,7 @@ def labelled_lines(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS
     """(quality, line features, those of the broken copy) of the first ``per_class`` labelled documents of each quality, by hash of doc_id: a bounded
     sample. Of rows with one doc_id the one of the least line features counts, so it doesn't depend on the order of rows."""
     kind = docs.schema["doc_id"].dataType
-    parts = [labels.where(F.col("quality") == q).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
+    parts = [labels.where(F.col("quality") == q).select(F.col("doc_id").try_cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select("doc_id", text_or_empty(docs).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     lines = map_slices(rows, _line_bits, T.StructType([T.StructField("doc_id", kind), T.StructField("quality", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("broken", T.ArrayType(T.LongType()))]))
