@@ -138,3 +138,82 @@ def test_fit_doesnt_depend_on_repeated_doc_ids(spark):
     labels = spark.createDataFrame([(i, int(i == 0 or i % 2)) for i in range(20)], "doc_id long, quality int")
     fits = [quality.fit_on(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), labels, per_class=20) for order in (rows, rows[::-1])]
     assert fits[0] == fits[1] != quality.DEFAULT
+
+
+def with_a_line_in_common(r, n, words=4000, own=6):
+    """Texts that have a line in common and are otherwise different."""
+    line = " ".join(f"common{k}" for k in range(12))
+    return [f"{prose(r, own, words)}\n{line}\n{prose(r, own, words)}" for _ in range(n)]
+
+
+def test_texts_with_a_line_in_common_dont_meet_in_every_two_blocks(spark, monkeypatch):
+    from tokenloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 10)
+    rows = []
+    for name in ("link_blocks", "meetings"):
+        own = getattr(near_dedup, name, None)
+        monkeypatch.setattr(near_dedup, name, lambda table, own=own: (rows.append(table.count()), own(table))[1], raising=False)
+    texts = with_a_line_in_common(random.Random(24), 400)
+    found = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(f["class_size"] == 1 for f in found)
+    assert 400 < sum(rows) < 20 * 400, rows  # every two blocks of one set of all texts are 400 * 40 rows
+
+
+def test_no_link_is_lost_among_frequent_words(spark, monkeypatch):
+    """Chains of edits in texts with a line in common and few words besides: rare words of too many texts are paired, and what is
+    left meets in blocks."""
+    import pyarrow as pa
+
+    from tokenloom.llm import alignment, near_dedup
+    from tokenloom.llm.common import column_bytes
+
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(near_dedup, "HOT_TEXTS", 4)
+    meetings, called = near_dedup.meetings, []
+    monkeypatch.setattr(near_dedup, "meetings", lambda keyed: (called.append(1), meetings(keyed))[1])
+    r = random.Random(25)
+    texts = []
+    for text in with_a_line_in_common(r, 12, 25, 15):
+        words = text.split()
+        for _ in range(6):
+            for i in r.sample(range(len(words)), 4):
+                if not words[i].startswith("common"):
+                    words[i] = f"w{r.randrange(25)}"
+            texts.append(" ".join(words))
+    samples = near_dedup.sketch(*column_bytes(pa.array([t.encode() for t in texts], pa.binary())))[2]
+    words = [near_dedup.words_of(t.encode()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if alignment.within(words[i], words[j], int(0.2 * max(len(words[i]), len(words[j])) + 1e-9))]
+    root = list(range(len(texts)))
+    for i, j in near:
+        root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    found = {f["doc_id"]: f["class_id"] for f in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(called) == near_dedup.DEPTH + 1
+    assert all(found[i] == found[j] for i, j in near if ((samples[:, i] == samples[:, j]) & (samples[:, i] > 0)).any())
+    assert all(root[i] == root[found[i]] for i in found) and 1 < len(set(root)) < len(texts)
+
+
+def test_linked_texts_share_rare_words_by_any_order():
+    """Of texts at the threshold, the first fifth and one more of the words meet, and so on for two and three words."""
+    import pyarrow as pa
+
+    from tokenloom.llm import alignment, near_dedup
+
+    r = random.Random(26)
+    for n in [*range(4, 30), 57, 200]:
+        for _ in range(20):
+            a = [r.randrange(n) for _ in range(n)]
+            b = list(a)
+            for _ in range(r.randrange(int(0.25 * n) + 2)):
+                at = r.randrange(len(b))
+                b[at : at + r.randrange(2)] = [r.randrange(n)] * r.randrange(2)
+            if a == b or not alignment.within(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)):
+                continue
+            batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{x}" for x in t).encode() for t in (a, b)])], names=["text"])
+            _, labelled, of, n_words = near_dedup._tokens(batch)
+            for salt in range(3):
+                order = near_dedup.mix(labelled ^ np.uint64(salt))
+                sides = [[int(x) for x in np.sort(order[of == k])] for k in (0, 1)]
+                both = sorted(set(sides[0]) & set(sides[1]))
+                for depth in range(1, near_dedup.DEPTH + 1):
+                    assert all(both[depth - 1] in side[: int(0.2 * len(side) + 1e-9) + depth] for side in sides)
