@@ -93,3 +93,23 @@ def test_pipeline_of_nothing(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_line_in_common_doesnt_hold_up_the_stages_after_near_dedup(spark, tmp_path, monkeypatch):
+    """Rows that near dedup aligns or compares, of texts that aren't near-duplicates, follow their number; source mix then gets all of them."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 10)
+    seen = []
+    for name in ("link_blocks", "meetings"):
+        own = getattr(near_dedup, name, None)
+        monkeypatch.setattr(near_dedup, name, lambda table, own=own: (seen.append(table.count()), own(table))[1], raising=False)
+    r = random.Random(27)
+    line = " ".join(f"common{k}" for k in range(12))
+    own = lambda: " ".join(f"w{r.randrange(4000)}" for _ in range(6))
+    docs = spark.createDataFrame([(i, f"{own()}\n{line}\n{own()}", "a") for i in range(400)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    for name, stage in pipeline.STAGES[2:4]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.select("doc_id").distinct().count() == 400
+    assert 400 < sum(seen) < 20 * 400, seen
