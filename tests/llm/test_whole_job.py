@@ -193,6 +193,38 @@ def test_no_link_is_lost_among_frequent_words(spark, monkeypatch):
     assert all(root[i] == root[found[i]] for i in found) and 1 < len(set(root)) < len(texts)
 
 
+def test_two_large_classes_that_arent_linked_are_no_single_task(spark, monkeypatch):
+    """Every two texts of two classes of the same words in another order must be aligned, but not in one task; unrelated ones of the same
+    frequent words needn't be."""
+    from tokenloom.llm import alignment, near_dedup
+
+    monkeypatch.setattr(near_dedup, "ALIGN_PAIRS", 100, raising=False)
+    parts, spread = [], near_dedup.spread
+
+    def counted(table, *keys):
+        out = spread(table, *keys)
+        if "other_text" in table.columns:
+            parts.extend(out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "spread", counted)
+    r = random.Random(28)
+    word = lambda: f"w{int(20000 * r.random() ** 4)}"
+    first = [word() for _ in range(400)]
+    second = first[200:] + first[:200]
+    texts = [[*t[:k], word(), *t[k + 1 :]] for t in (first, second) for k in range(30)]
+    texts += [[word() for _ in range(399)] + ["common"] for _ in range(100)]
+    texts.append([w if i % 6 else word() for i, w in enumerate(texts[60])])
+    groups = [0] * 30 + [30] * 30 + list(range(60, 161))
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if groups[i] != groups[j] and alignment.within(texts[i], texts[j], 80)}
+    bodies = spark.createDataFrame([(i, " ".join(t).encode()) for i, t in enumerate(texts)], "node long, text binary")
+    classes = spark.createDataFrame(list(enumerate(groups)), "node long, class long")
+    found = near_dedup.rest_of_sets(bodies.selectExpr("7L AS sample", "node"), classes, bodies)
+    assert {tuple(f) for f in found.collect()} == links == {(60, 160)}
+    assert 900 <= sum(parts) < 950, parts  # of 100 unrelated texts alone every two are 4,950
+    assert max(parts) < 0.6 * sum(parts), parts
+
+
 def test_linked_texts_share_rare_words_by_any_order():
     """Of texts at the threshold, the first fifth and one more of the words meet, and so on for two and three words."""
     import pyarrow as pa
