@@ -198,3 +198,34 @@ def test_examples_run(spark, tmp_path, byte_level_bpe):
     assert run("local_corpus", model, tmp_path / "corpus", tmp_path / "cache").documents == 4 and (tmp_path / "cache" / "counts").exists()
     (tmp_path / "w.json").write_text(word_document(["[UNK]", "the", "cat"]))
     assert run("compare_documents", tmp_path / "w.json", tmp_path / "w.json")["vocabulary"]["removed"] == 0
+
+
+def test_slices_follow_files_not_partitions(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [{"id": i, "text": "x" * (10 if i < 40 else 400)} for i in range(90)]
+    cuts = [(0, 40), (40, 50), (50, 90)]  # the later files are larger, so Spark reads them first
+    for kind in ("parquet", "json", "csv", "arrow"):
+        (tmp_path / kind).mkdir()
+    for k, (a, b) in enumerate(cuts):
+        table = pa.Table.from_pylist(rows[a:b])
+        pq.write_table(table, tmp_path / "parquet" / f"{k}.parquet", row_group_size=7, compression=None)
+        (tmp_path / "json" / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows[a:b]))
+        (tmp_path / "csv" / f"{k}.csv").write_text("id,text\n" + "".join(f"{r['id']},{r['text']}\n" for r in rows[a:b]))
+        with pa.OSFile(str(tmp_path / "arrow" / f"{k}.arrow"), "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
+            w.write_table(table)
+    wanted = [*range(9, 42), *range(83, 90)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("2k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            for kind in ("parquet", "json", "csv", "arrow"):
+                found = open_dataset(spark, Dataset(path=str(tmp_path / kind), split="train[10%:42]+train[-7:]"))
+                assert column(found.withColumn("id", F.col("id").cast("int")), "id") == wanted, (kind, most)
+            for kind in ("parquet", "json", "csv"):  # files that are named come in the order given
+                files = [str(tmp_path / kind / f"{k}.{kind}") for k in (2, 0, 1)]
+                found = open_dataset(spark, Dataset(path=kind, split="train[38:42]+train[-1:]", data_files=files))
+                assert column(found.withColumn("id", F.col("id").cast("int")), "id") == [0, 1, 49, 88, 89]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

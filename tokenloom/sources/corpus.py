@@ -75,8 +75,8 @@ def _arrow_tables(raw: bytes):
             yield reader.get_batch(i)
 
 
-def _arrow_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Arrow files, each read by the task that gets it; the first one's head gives the schema."""
+def _arrow_files(spark: SparkSession, files: list[str], named: bool = False) -> DataFrame:
+    """Arrow files, each read by the task that gets it; the first one's head gives the schema. ``named`` adds a row's file as ``_file``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -99,14 +99,18 @@ def _arrow_files(spark: SparkSession, files: list[str]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("content").to_pylist():
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 for part in _arrow_tables(raw):
-                    yield pa.RecordBatch.from_arrays([part.column(n) for n in names], names=names)
+                    own = [part.column(n) for n in names]
+                    if named:
+                        own.append(pa.array([path] * part.num_rows, pa.string()))
+                    yield pa.RecordBatch.from_arrays(own, names=[*names, "_file"] if named else names)
 
-    return loaded.select("content").mapInArrow(rows, from_arrow_schema(schema))
+    out = from_arrow_schema(schema)
+    return loaded.select("path", "content").mapInArrow(rows, out.add("_file", "string") if named else out)
 
 
-def _arrow(spark: SparkSession, folder: str, split: str) -> DataFrame:
+def _arrow(spark: SparkSession, folder: str, split: str, named: bool = False) -> DataFrame:
     """A dataset that was saved as Arrow files: one folder, or one folder a split."""
     names = _folders(spark, folder)
     files = [f for f in _listed(spark, folder, recursive=False)]
@@ -114,7 +118,7 @@ def _arrow(spark: SparkSession, folder: str, split: str) -> DataFrame:
         if split not in names:
             raise KeyError(f"{folder!r} holds splits {names}, so there is no {split!r} to read")
         files = _listed(spark, f"{folder.rstrip('/')}/{split}", recursive=False)
-    return _arrow_files(spark, [f for f in files if f.endswith(".arrow")])
+    return _arrow_files(spark, [f for f in files if f.endswith(".arrow")], named)
 
 
 SLICE = re.compile(r"^([^\[\]]+)(?:\[(-?\d+%?)?:(-?\d+%?)?\])?$")
@@ -131,16 +135,36 @@ def parse_split(split: str) -> list[tuple[str, str | None, str | None]]:
     return out
 
 
+def placed(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Rows of (loader, table) parts with ``_row``, their number in the order of parts, files by path and places in them, and ``_total``, how
+    many there are.
+
+    Spark reads the pieces of files in an order of its own (larger ones first), so a partition's number says nothing of it. Parquet
+    knows a row's place in its file; of other files the pieces' places are known, and rows are written once to be numbered
+    in them. Only a count a file or piece is gathered.
+    """
+    out, names = None, []
+    for k, (loader, rows) in enumerate(parts):
+        own = [c for c in rows.columns if loader != "arrow" or c != "_file"]
+        names += [c for c in own if c not in names]
+        if loader == "arrow":
+            file, block = F.col("_file"), F.lit(0)
+        else:
+            about = rows.metadataColumn("_metadata")
+            file, block = about["file_path"], F.lit(0) if loader == "parquet" else about["file_block_start"]
+        at = about["row_index"] if loader == "parquet" else F.monotonically_increasing_id()
+        rows = rows.select(*[rows[c] for c in own], F.lit(k).alias("_part"), file.alias("_file"), block.cast("long").alias("_block"), at.alias("_at"))
+        rows = rows if loader == "parquet" else cut(rows, "sliced")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    keys = ["_part", "_file", "_block"]
+    counts = out.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.select(*keys, (before - F.col("_first")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_total"))
+    return out.join(F.broadcast(sums), keys).select(*names, (F.col("_before") + F.col("_at")).alias("_row"), "_total")
+
+
 def take_slice(rows: DataFrame, start: str | None, stop: str | None) -> DataFrame:
-    """Rows from ``start`` to before ``stop``, in the order of files and places in them; percentages are rounded to whole rows,
-    negative bounds count from the end. Only a count a partition is gathered."""
-    if start is None and stop is None:
-        return rows
-    numbered = cut(rows.withColumn("_at", F.monotonically_increasing_id()), "sliced")
-    part = F.shiftright("_at", 33)
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.select("_part", before.alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_total"))
+    """Of ``placed`` rows those from ``start`` to before ``stop``; percentages are rounded to whole rows, negative bounds count from the end."""
     total = F.col("_total")
 
     def bound(text: str | None, default):
@@ -149,23 +173,36 @@ def take_slice(rows: DataFrame, start: str | None, stop: str | None) -> DataFram
         value = F.round(total * int(text[:-1]) / 100) if text.endswith("%") else F.lit(int(text))
         return F.when(value < 0, total + value).otherwise(value)
 
-    row = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = numbered.withColumn("_part", part).join(F.broadcast(sums), "_part")
-    return placed.where((row >= bound(start, F.lit(0))) & (row < bound(stop, total))).select(*[numbered[c] for c in rows.columns])
+    row = F.col("_row")
+    return rows.where((row >= bound(start, F.lit(0))) & (row < bound(stop, total))).drop("_row", "_total")
 
 
 def open_dataset(spark: SparkSession, spec: Dataset) -> DataFrame:
     """The rows of a dataset's split, named by a loader with files, or by a folder on any file system that Spark reads."""
-    out = None
+    out, known = None, {}
     for name, start, stop in parse_split(spec.split):
-        rows = take_slice(_open_split(spark, spec.model_copy(update={"split": name})), start, stop)
+        own = spec.model_copy(update={"split": name})
+        if start is None and stop is None:
+            rows = _open_split(spark, own)
+        else:
+            if name not in known:
+                known[name] = placed(_parts(spark, own, sliced=True))
+            rows = take_slice(known[name], start, stop)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _open_split(spark: SparkSession, spec: Dataset) -> DataFrame:
+    out = None
+    for _, rows in _parts(spark, spec):
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def _parts(spark: SparkSession, spec: Dataset, sliced: bool = False) -> list[tuple[str, DataFrame]]:
+    """Loaders and what they read; for slices each given file is a part, in the order given."""
     if spec.load_from_disk:
-        return _arrow(spark, spec.path, spec.split)
+        return [("arrow", _arrow(spark, spec.path, spec.split, sliced))]
     files = spec.data_files
     if isinstance(files, dict):
         if spec.split not in files:
@@ -178,7 +215,11 @@ def _open_split(spark: SparkSession, spec: Dataset) -> DataFrame:
         chosen = files or ([spec.data_dir] if spec.data_dir else None)
         if not chosen:
             raise ValueError(f"loader {spec.path!r} needs data_dir or data_files")
-        return LOADERS[spec.path](spark.read, chosen)
+        rows = LOADERS[spec.path](spark.read, chosen)
+        if not sliced or len(chosen) == 1:
+            return [(spec.path, rows)]
+        alike = lambda: spark.read if spec.path == "text" else spark.read.schema(rows.schema)
+        return [(spec.path, LOADERS[spec.path](alike(), [f])) for f in chosen]
     if not _is_folder(spark, spec.path):
         raise FileNotFoundError(f"{spec.path!r} is neither a loader ({', '.join(sorted(LOADERS))}) nor a folder")
     found: dict[str, list[str]] = {}
@@ -188,12 +229,9 @@ def _open_split(spark: SparkSession, spec: Dataset) -> DataFrame:
     if not found:
         raise FileNotFoundError(f"no data files in {spec.path!r}")
     if set(found) == {"arrow"}:
-        return _arrow(spark, spec.path, spec.split)
-    out = None
-    for kind, paths in sorted(found.items()):  # a folder of several kinds is all of them, by column names
-        rows = _arrow_files(spark, paths) if kind == "arrow" else LOADERS[kind](spark.read, paths)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+        return [("arrow", _arrow(spark, spec.path, spec.split, sliced))]
+    # a folder of several kinds is all of them, by column names
+    return [(kind, _arrow_files(spark, paths, sliced) if kind == "arrow" else LOADERS[kind](spark.read, paths)) for kind, paths in sorted(found.items())]
 
 
 def texts(rows: DataFrame, column: str = "text", limit: int | None = None, order: list | None = None, source: str = "the dataset") -> DataFrame:
