@@ -229,3 +229,29 @@ def test_slices_follow_files_not_partitions(spark, tmp_path):
                 assert column(found.withColumn("id", F.col("id").cast("int")), "id") == [0, 1, 49, 88, 89]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_frequent_words_are_not_one_task(spark, monkeypatch):
+    from tokenloom.operators import encode as E
+    from tokenloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 2)
+    lines = {i: "the " * 20 + ("odd " if i % 2 else "new ") * 15 + f"w{i} rare{i} rare{i}" for i in range(200)}
+    docs = spark.createDataFrame(list(lines.items()), "doc_id long, text string").repartition(4)
+    ids = {w: k for k, w in enumerate(["the", "odd", *[f"rare{i}" for i in range(0, 200, 2)]])}
+    vocab = spark.createDataFrame(list(ids.items()), "token string, token_id int")
+    coded = E.encode_wordlevel(docs, vocab, unk=-1)
+    wanted = sorted((i, k, w, ids.get(w, -1)) for i, line in lines.items() for k, w in enumerate(line.split()))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = coded.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert sorted(tuple(r)[:4] for r in found) == wanted
+    of_the = [r["task"] for r in found if r["token"] == "the"]
+    assert max(of_the.count(k) for k in set(of_the)) < 0.5 * len(of_the)  # all of them before
+    by_text = {i: [ids.get(w, -1) for w in line.split()] for i, line in lines.items()}
+    for hot in (None, vocab.where("token_id < 2")):
+        sums = E.sum_wordlevel(docs, vocab, hot=hot).collect()
+        assert {r["doc_id"]: tuple(r)[1:] for r in sums} == {i: (len(x), x.count(-1), sum(x)) for i, x in by_text.items()}

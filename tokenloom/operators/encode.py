@@ -15,16 +15,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import words
+from tokenloom.sources import scratch
 from tokenloom.sources.scratch import lookup_side, spread
 
 
-def encode_wordlevel(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", unk: int | None = None, pieces: Column | None = None) -> DataFrame:
-    """key, pos, token, token_id for each word; unknown words get ``unk`` (or none, left null)."""
+def _marked(found: DataFrame, vocab: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Adds ``_hot`` and, of hot words, ``_id``. ``hot``: the words that occur most, by default as a count of them finds them."""
+    if hot is None:
+        counts = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+        hot = counts.orderBy(F.desc("n"), "token").limit(scratch.BROADCAST_ROWS)
+    known = hot.select("token").join(vocab, "token", "left").select("token", F.lit(True).alias("_hot"), F.col("token_id").alias("_id"))
+    return found.join(F.broadcast(known), "token", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+
+def encode_wordlevel(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", unk: int | None = None, pieces: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """key, pos, token, token_id for each word; unknown words get ``unk`` (or none, left null).
+
+    Of a vocabulary too large to be broadcast the hot words are; only the rows of others meet by their word, so no frequent word is one
+    task. ``hot``: as many words as may be broadcast, the most frequent ones, where they are known.
+    """
     found = docs.select(key, F.posexplode(pieces if pieces is not None else words(F.col("text"))).alias("pos", "token"))
-    joined = found.join(lookup_side(vocab.select("token", "token_id")), "token", "left")
+    vocab = vocab.select("token", "token_id")
+    if vocab.count() <= scratch.BROADCAST_ROWS:
+        joined = found.join(F.broadcast(vocab), "token", "left")
+    else:
+        alone = F.concat_ws("\n", F.lit(""), F.col(key).cast("string"), "pos")
+        rows = _marked(found, vocab, hot).withColumn("_key", F.when(F.col("_hot"), alone).otherwise(F.col("token")))
+        joined = rows.join(vocab.select(F.col("token").alias("_key"), "token_id"), "_key", "left")
+        joined = joined.withColumn("token_id", F.when(F.col("_hot"), F.col("_id")).otherwise(F.col("token_id")))
     return joined.select(key, "pos", "token", (F.coalesce("token_id", F.lit(unk)) if unk is not None else F.col("token_id")).alias("token_id"))
 
 
+def sum_wordlevel(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", unk: int = -1, pieces: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """key, n_tokens, n_unknown and id_sum of each text with words, unknown words having the id ``unk``: what ``encode_wordlevel`` gives, summed.
+    Hot words are summed by text before anything is shuffled."""
+    found = docs.select(key, F.explode(pieces if pieces is not None else words(F.col("text"))).alias("token"))
+    vocab = vocab.select("token", "token_id")
+    if vocab.count() <= scratch.BROADCAST_ROWS:
+        parts = found.join(F.broadcast(vocab), "token", "left").select(key, F.lit(1).cast("long").alias("n"), F.when(F.col("token_id").isNull(), 1).otherwise(0).alias("lost"), F.col("token_id").cast("long").alias("ids"))
+    else:
+        alone = F.concat_ws("\n", F.lit(""), F.col(key).cast("string"))
+        rows = _marked(found, vocab, hot).withColumn("_key", F.when(F.col("_hot"), alone).otherwise(F.col("token")))
+        each = rows.groupBy(key, "_hot", "_key").agg(F.count("*").alias("n"), F.count_if(F.col("_id").isNull()).alias("_lost"), F.sum("_id").alias("_ids"))
+        joined = each.join(vocab.select(F.col("token").alias("_key"), "token_id"), "_key", "left")
+        cold = F.when(F.col("token_id").isNull(), F.col("n")).otherwise(0)
+        parts = joined.select(key, "n", F.when(F.col("_hot"), F.col("_lost")).otherwise(cold).alias("lost"), F.when(F.col("_hot"), F.col("_ids")).otherwise(F.col("token_id") * F.col("n")).alias("ids"))
+    sums = parts.groupBy(key).agg(F.sum("n").alias("n_tokens"), F.sum("lost").alias("n_unknown"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"))
+    return sums.select(key, "n_tokens", "n_unknown", (F.col("ids") + F.lit(unk) * F.col("n_unknown")).cast("long").alias("id_sum"))
+
+
 def wordpiece_of(distinct: DataFrame, vocab: DataFrame, unk: int, prefix: str = "##", most: int = 100) -> DataFrame:
     """token and its ids (array) for distinct words: greedily the longest piece from each place.
 
