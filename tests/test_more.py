@@ -255,3 +255,36 @@ def test_frequent_words_are_not_one_task(spark, monkeypatch):
     for hot in (None, vocab.where("token_id < 2")):
         sums = E.sum_wordlevel(docs, vocab, hot=hot).collect()
         assert {r["doc_id"]: tuple(r)[1:] for r in sums} == {i: (len(x), x.count(-1), sum(x)) for i, x in by_text.items()}
+
+
+def test_whole_weights_are_counted_before_the_shuffle(spark):
+    from tokenloom.operators.counting import count_weighted
+
+    rows = [(d, w, t) for d in range(300) for w in (2.0, 0.5, 1.5) for t in ("a", "a", "a", "b")]
+    rows += [(None, 2.0, "a"), (None, 0.5, "c"), (7, None, "b")]
+    tokens = spark.createDataFrame(rows, "doc long, weight double, token string")
+    found = {}
+    tasks = tokens.rdd.getNumPartitions()
+    for weights in (["2.0"], ["0.5", "1.5"]):
+        part = count_weighted(tokens.where(f"weight IN ({', '.join(weights)})"), ["doc", "weight"], "weight")
+        found |= {(r["token"], *weights): r["n"] for r in part.collect()}
+        plan = part._jdf.queryExecution().executedPlan()
+        most = max(_rows_shuffled(plan))
+        assert (most <= 2 * tasks) if weights == ["2.0"] else (most >= 1200)  # a row a task and token, or a document and token
+    assert found == {("a", "2.0"): 1802, ("b", "2.0"): 600, ("a", "0.5", "1.5"): 300 * (2 + 4), ("b", "0.5", "1.5"): 300 * (0 + 2), ("c", "0.5", "1.5"): 0}
+    assert {r["token"]: r["n"] for r in count_weighted(tokens, ["doc", "weight"], "weight").collect()} == {"a": 1802 + 1800, "b": 600 + 600, "c": 0}
+
+
+def _rows_shuffled(plan):
+    """Rows written by each exchange of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        yield from _rows_shuffled(plan.executedPlan())
+        return
+    if name.endswith("QueryStage"):
+        yield from _rows_shuffled(plan.plan())
+    if name == "Exchange" and plan.metrics().contains("shuffleRecordsWritten"):
+        yield plan.metrics().apply("shuffleRecordsWritten").value()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _rows_shuffled(children.apply(i))

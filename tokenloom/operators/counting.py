@@ -21,8 +21,14 @@ def count_occurrences(tokens: DataFrame, key: str = "token") -> DataFrame:
 
 
 def count_weighted(tokens: DataFrame, docs: list[str], weight, key: str = "token") -> DataFrame:
-    """key and n: counts by document times its weight, rounded half to even, summed. Zero sums stay."""
-    each = tokens.groupBy(*docs, key).agg((F.count("*") * F.first(weight)).alias("w"))
+    """key and n: counts by document times its weight, rounded half to even, summed. Zero sums stay.
+
+    Where the weight is a whole number there is nothing to round, so documents of that weight are counted together, before anything
+    is shuffled."""
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    whole = F.coalesce(weight == F.floor(weight), F.lit(False))
+    alike = [F.when(whole, weight).alias("_weight"), *[F.when(~whole, F.col(c)).alias(f"_doc{i}") for i, c in enumerate(docs)]]
+    each = tokens.groupBy(*alike, key).agg((F.count("*") * F.first(weight)).alias("w"))
     return each.groupBy(key).agg(F.sum(F.bround("w", 0).cast("long")).alias("n"))
 
 
