@@ -288,3 +288,14 @@ def _rows_shuffled(plan):
     children = plan.children()
     for i in range(children.size()):
         yield from _rows_shuffled(children.apply(i))
+
+
+def test_only_frequent_words_are_ranked_for_merges(spark, tmp_path, monkeypatch):
+    from tokenloom.plans import queries as Q
+
+    lines = [" ".join(["went", "sing", "sing", f"rare{i}"]) for i in range(Q.LEAST)]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(Q, "numbered", lambda counts, own=Q.numbered: seen.append(counts.count()) or own(counts))
+    closed = Q.dependency_closure(spark, str(tmp_path)).count()
+    assert seen == [2] and closed == len({"w", "we", "wen", "e", "n", "t", "s", "si", "sin", "i", "g"})

@@ -14,7 +14,7 @@ from tokenloom.operators.presets import resolve_preset
 from tokenloom.operators.ranking import ranked
 from tokenloom.sources.backends import get_backend
 from tokenloom.sources.corpus import read_token_file
-from tokenloom.sources.scratch import cut, cut_counted
+from tokenloom.sources.scratch import cut, cut_counted, lookup_side
 
 log = logging.getLogger(__name__)
 #: Dependencies that a round of the closure follows.
@@ -54,8 +54,8 @@ def merge_dependencies(merges: DataFrame, vocab: DataFrame) -> DataFrame:
 def expand_dependencies(kept: DataFrame, deps: DataFrame, key: str = "token_id") -> DataFrame:
     """The tokens that kept ones need and that aren't kept. A round follows HOPS dependencies from its frontier and writes what
     is new to a table of its own; the next begins at what the last hop found."""
-    edges = deps.select(F.col("child").alias(key), "parent").distinct()
-    start = kept.select(key).distinct()
+    edges = lookup_side(*cut_counted(deps.select(F.col("child").alias(key), "parent").distinct(), "edges"))
+    start = cut(kept.select(key).distinct(), "start")
     added = start.limit(0)
     frontier = start
     while True:
