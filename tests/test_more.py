@@ -299,3 +299,26 @@ def test_only_frequent_words_are_ranked_for_merges(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(Q, "numbered", lambda counts, own=Q.numbered: seen.append(counts.count()) or own(counts))
     closed = Q.dependency_closure(spark, str(tmp_path)).count()
     assert seen == [2] and closed == len({"w", "we", "wen", "e", "n", "t", "s", "si", "sin", "i", "g"})
+
+
+def test_bpe_counts_encode_each_piece_once(byte_level_bpe, monkeypatch):
+    import pyarrow as pa
+
+    from tokenloom.operators import encode as E
+
+    r = random.Random(5)
+    parts = ["the", "at", "de", "hé", "1", "'s", "<|im_end|>", "!", " ", "  ", "\n", " \n", "\t", " ", " ", "\x1c", "\x85", " the", "the "]
+    lines = ["", " ", "the  at", *["".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(400)], *["the at the at de at"] * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines)], names=["text"])
+    wanted, given, own = {}, [], E._ids
+    for ids in own(byte_level_bpe, lines):
+        for i in ids:
+            wanted[i] = wanted.get(i, 0) + 1
+    monkeypatch.setattr(E, "_ids", lambda document, texts: given.extend(texts) or own(document, texts))
+    assert E.cut_at_spaces(byte_level_bpe)
+    found = list(E._count_pieces(byte_level_bpe, iter([batch])))
+    assert dict(zip(found[0]["token_id"].to_pylist(), found[0]["n"].to_pylist())) == wanted and len(found) == 1
+    assert given.count(" at") == 1 and "the at the at de at" not in given
+    changed = json.loads(byte_level_bpe)
+    for name, value in (("normalizer", {"type": "Lowercase"}), ("truncation", {"max_length": 4}), ("pre_tokenizer", {"type": "Whitespace"})):
+        assert not E.cut_at_spaces(json.dumps(changed | {name: value}))
